@@ -90,7 +90,7 @@ def signatures(s: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         strong = (strength.sum(1)[:, None] - strength).ravel()
         who = np.repeat(owner, SUB)
         # leave out the `spare` weakest of each set
-        order = np.lexsort((sig, strong, who))
+        order = np.argsort((who.astype(U64) << U64(44)) | (np.minimum(strong, 4095).astype(U64) << U64(32)) | (sig >> U64(32)))
         first = np.append(0, np.cumsum(cells * SUB))
         rank = np.arange(len(order)) - np.repeat(first[:-1], cells * SUB)
         stays = order[rank >= spare[np.maximum(band, 0)][who[order]]]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import key_columns, materialize, original_id
-from .textbatch import SPACE, TextBatch, distinct, lut, per_doc, slices, starts_of_runs
+from .textbatch import SPACE, TextBatch, distinct, lut, packed, per_doc, slices, starts_of_runs
 
 FEATURES = (
     "upper_share", "symbol_rate", "pipe_rate", "bang_rate",
@@ -40,8 +40,7 @@ def _features(t: TextBatch) -> np.ndarray:
     some = np.maximum(words, 1)
     h = t.hashes(starts, ends)
     again = ~starts_of_runs(h) & ~starts_of_runs(doc)
-    # one sort of (text, word) pairs packed in 64 bits: texts of a slice number under 2**20, 44 bits of hash remain
-    key = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+    key = np.sort(packed(doc, h))
     first = np.flatnonzero(starts_of_runs(key))
     key_doc = (key[first] >> np.uint64(44)).astype(np.int64)
     kinds = np.bincount(key_doc, minlength=n)

@@ -48,7 +48,7 @@ def slices(arrays: list[pa.Array], text: int, max_bytes: int = SLICE_BYTES):
     at = 0
     while at < len(col):
         to = int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1
-        to = min(max(to, at + 1), len(col))
+        to = min(max(to, at + 1), at + (1 << 20) - 1, len(col))
         yield [a.slice(at, to - at) for a in arrays]
         at = to
 
@@ -135,13 +135,16 @@ def starts_of_runs(key: np.ndarray) -> np.ndarray:
     return first
 
 
+def packed(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Text number and the upper 44 bits of a hash in one sortable word; a slice has fewer than 2**20 texts."""
+    return (doc.astype(U64) << U64(44)) | (value >> U64(20))
+
+
 def distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Indexes of the first of each distinct (doc, value), ordered by doc, then value."""
-    order = np.lexsort((value, doc))
-    d, v = doc[order], value[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
-    return order[first]
+    """Indexes of the first of each distinct (doc, value), ordered by doc; value is a hash."""
+    key = packed(doc, value)
+    order = np.argsort(key)
+    return order[starts_of_runs(key[order])]
 
 
 def ranks(doc: np.ndarray) -> np.ndarray:
