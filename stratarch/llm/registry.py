@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, linededup, packing, quality
-from .shared import table
+from . import ann, archive, bpe, jaccard, licenses, linededup, lmscore, packing, quality, sharding
+from .shared import scratch_path, table
+
+
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,20 +20,47 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_parse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.write_archive(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op5_ngram_jaccard_join, op7_line_dedup)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), scratch_path(spark, "store"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours, op2_packing, op3_quality_rules, op4_lm_scoring, op5_ngram_jaccard_join,
+        op6_warc_writer, op7_line_dedup, op8_sharding, op9_license_scan, op10_bpe,
+    )
+}
 
 #: DuckDB's \\w is ASCII; letters beyond it are named by a range, as the operator keeps all non-ASCII characters.
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 
 ORACLE_SQL = {
+    "op8_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "op5_ngram_jaccard_join": f"""
 WITH words AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS w FROM documents WHERE doc_id IS NOT NULL),
 sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
