@@ -103,7 +103,8 @@ def _sets(n: int):
     def run(it):
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
-            yield pa.RecordBatch.from_arrays([part["did"], part["th"], int64(s.id), int64(s.size)], ["did", "th", "sid", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [part["did"], part["th"], int64(s.id), int64(s.size), pa.array(sketches(s), pa.binary())], ["did", "th", "sid", "size", "sketch"])
 
     return run
 
@@ -195,22 +196,60 @@ def _verify(threshold: float):
     return run
 
 
+def sketches(s: Sets) -> list[bytes]:
+    """Parity of the elements in each of m cells, m the power of two (64 at least) in (size, 2 size]. Two sets' sketches
+    differ in no more cells than the sets do in elements; a sketch folds to half its cells by XOR of its halves."""
+    words = np.maximum(1, np.left_shift(1, np.ceil(np.log2(np.maximum(s.size, 1) + 1)).astype(np.int64)) // 64)
+    base = np.append(0, np.cumsum(words))
+    bit = mix(s.element + _C) & (words[s.doc] * 64 - 1).astype(U64)
+    cell = base[s.doc] * 64 + bit.astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(base[-1]) * 64) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[x * 8 : y * 8] for x, y in zip(base.tolist(), base[1:].tolist())]
+
+
+def _far_apart(threshold: float):
+    """Rows (members: [(sid, size, sketch)], pairs: [(a, b)]) to the pairs that sizes and sketches don't rule out."""
+
+    def run(it):
+        for batch in it:
+            for members, pairs in zip(batch.column(0), batch.column(1)):
+                m, p = members.values, pairs.values
+                order = np.argsort(m.field(0).to_numpy())
+                ids, size = m.field(0).to_numpy()[order], m.field(1).to_numpy()[order]
+                raw = [np.frombuffer(x.as_buffer(), U64) for x in m.field(2)]
+                raw = [raw[k] for k in order.tolist()]
+                cells = np.array([len(x) for x in raw])
+                a, b = (np.searchsorted(ids, p.field(k).to_numpy()) for k in (0, 1))
+                most = np.floor((1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-9)
+                near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+                width = np.minimum(cells[a], cells[b])
+                for c in np.unique(width[near]):
+                    some = np.flatnonzero((cells == c) | (cells == 2 * c))
+                    place = np.zeros(len(cells), np.int64)
+                    place[some] = np.arange(len(some))
+                    table = np.stack([raw[k] if cells[k] == c else raw[k][:c] ^ raw[k][c:] for k in some])
+                    at = np.flatnonzero(near & (width == c))
+                    for block in np.array_split(at, max(1, len(at) * int(c) >> 20)):
+                        gap = np.bitwise_count(table[place[a[block]]] ^ table[place[b[block]]]).sum(1, dtype=np.int64)
+                        near[block] = gap <= most[block]
+                if near.any():
+                    which = pa.array(near)
+                    yield pa.RecordBatch.from_arrays([p.field(0).filter(which), p.field(1).filter(which)], ["a", "b"])
+
+    return run
+
+
 #: Members of one verification task; a larger cluster is split into blocks of pairs between so many.
 BLOCK = 2048
 
 
-def similar_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (did, th, sid, size), which names the n-gram set of every row, and (a, b, jaccard), the pairs of
-    distinct sets with a similarity of at least `threshold`. A set is named by a 64-bit hash of its elements."""
-    spark = docs.sparkSession
-    text = F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")
-    keyed = docs.select(*key_columns(id_col, text_col), text)
-    rows, _ = materialize(keyed.mapInArrow(_sets(n), "did long, th long, sid long, size long"), "sets")
-    sigs = keyed.select("text").mapInArrow(_signature_rows(n, threshold), "sig long, sid long")
-    found = sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_pairs_of_runs, "a long, b long")
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates, path = materialize(ordered, "candidates")
-    # a cluster's sets meet in one place, named by the least partner; there each set is sent once
+def _meet(candidates: DataFrame, sets: DataFrame, parts: list[str], check, schema: str, name: str) -> DataFrame:
+    """Apply `check` to candidates (a, b) and what `sets` (sid, then `parts`) says of their members.
+
+    A cluster's sets meet in one place, named by the least partner; there each set is sent once.
+    """
+    spark = candidates.sparkSession
     home = candidates.groupBy("a").agg(F.min("b").alias("x"))
     lead = candidates.groupBy(F.col("b").alias("s")).agg(F.min("a").alias("m")).unionByName(home.select(F.col("a").alias("s"), F.col("a").alias("m")))
     lead = lead.groupBy("s").agg(F.min("m").alias("m"))
@@ -220,20 +259,41 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     blocks = F.greatest(F.ceil(F.sqrt(F.col("c") * 2.0) / BLOCK), F.lit(1))
     pairs = pairs.join(crowd, "g").withColumn("k", blocks).select(
         "g", F.pmod(F.xxhash64("a"), F.col("k")).alias("i"), F.pmod(F.xxhash64("b"), F.col("k")).alias("j"), "a", "b")
-    pairs, pairs_path = materialize(pairs, "pairs")
+    pairs, path = materialize(pairs, "pairs")
     members = pairs.select("g", "i", "j", F.col("a").alias("sid")).unionByName(pairs.select("g", "i", "j", F.col("b").alias("sid"))).distinct()
-    wanted = members.select("sid").distinct()
+    gathered = members.join(sets, "sid").groupBy("g", "i", "j").agg(F.collect_list(F.struct("sid", *parts)).alias("members"))
+    asked = pairs.groupBy("g", "i", "j").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    out, _ = materialize(gathered.join(asked, ["g", "i", "j"]).select("members", "pairs").mapInArrow(check, schema), name)
+    drop_path(spark, path)
+    return out
+
+
+def similar_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (did, th, sid, size), which names the n-gram set of every row, and (a, b, jaccard), the pairs of
+    distinct sets with a similarity of at least `threshold`. A set is named by a 64-bit hash of its elements.
+
+    Candidates share a signature; sizes and sketches, a few bits an element, rule out nearly all false ones, and
+    only the sets of what is left are compared element by element. Both checks are exact.
+    """
+    spark = docs.sparkSession
+    text = F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")
+    keyed = docs.select(*key_columns(id_col, text_col), text)
+    rows, _ = materialize(keyed.mapInArrow(_sets(n), "did long, th long, sid long, size long, sketch binary"), "sets")
+    sigs = keyed.select("text").mapInArrow(_signature_rows(n, threshold), "sig long, sid long")
+    found = sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_pairs_of_runs, "a long, b long")
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    candidates, path = materialize(ordered, "candidates")
+    known = rows.groupBy("sid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    left = _meet(candidates, known, ["size", "sketch"], _far_apart(threshold), "a long, b long", "near")
+    drop_path(spark, path)
+    wanted = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid"))).distinct()
     stands = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     stands, stands_path = materialize(stands.distinct(), "stands")
     elements = keyed.join(maybe_broadcast(stands, 32), ["did", "th"], "left_semi").select("text").mapInArrow(_element_rows(n), "sid long, elements binary")
     elements = elements.groupBy("sid").agg(F.first("elements").alias("elements"))
-    gathered = members.join(elements, "sid").groupBy("g", "i", "j").agg(F.collect_list(F.struct("sid", "elements")).alias("members"))
-    asked = pairs.groupBy("g", "i", "j").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    checked = gathered.join(asked, ["g", "i", "j"]).select("members", "pairs").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
-    checked, _ = materialize(checked, "similar")
-    for p in (path, pairs_path, stands_path):
-        drop_path(spark, p)
-    return rows, checked
+    checked = _meet(left, elements, ["elements"], _verify(threshold), "a long, b long, jaccard double", "similar")
+    drop_path(spark, stands_path)
+    return rows.drop("sketch"), checked
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, threshold: float = 0.8) -> DataFrame:
