@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")
@@ -63,9 +63,13 @@ def http_headers(block: Column | str) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]))
 
 
+def _header_of(head: Column, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(head, r"(?i)\r\n" + name.replace("-", r"\-") + r":([^\r\n]*)", 1)), F.lit(""))
+
+
 def http_header(block: Column | str, name: str) -> Column:
     """One header's first value, without building the map."""
-    return F.nullif(F.trim(F.regexp_extract(_head_text(block), r"(?i)\r\n" + name.replace("-", r"\-") + r":([^\r\n]*)", 1)), F.lit(""))
+    return _header_of(_head_text(block), name)
 
 
 def http_content_type(block: Column | str) -> Column:
@@ -148,30 +152,35 @@ def _content_decoded(body: pa.Array, coding: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decoded(x, c or "") for x, c in zip(body.to_pylist(), coding.to_pylist())], pa.binary())
 
 
-def payload(block: Column | str) -> Column:
-    """The body as its digest covers it: transfer coding undone, content coding kept; empty for statuses without a
-    body; null where it can't be read. Only chunked bodies travel to Python."""
-    body = raw_payload(block)
-    chunked = F.lower(F.coalesce(http_header(block, "Transfer-Encoding"), F.lit(""))).contains("chunked")
-    status = F.regexp_extract(first_line(block), r"^HTTP/\d\.\d (\d{3})", 1)
-    none = status.rlike("^(1..|204|304)$")
-    plain = F.when(none, F.lit(b"")).when(~chunked, _by_length(block, body))
-    return F.coalesce(plain, _transfer_decoded(F.when(chunked & ~none, body)))
-
-
-def _by_length(block: Column | str, body: Column) -> Column:
-    """The body cut to its declared length; null where less is there."""
-    declared = F.regexp_extract(F.coalesce(http_header(block, "Content-Length"), F.lit("")), r"^\d{1,18}$", 0)
-    n = F.when(declared != "", declared.cast("long"))
-    return F.when(n.isNull(), body).when(F.octet_length(body) >= n, F.substring(body, F.lit(1), n.cast("int")))
-
-
-def decoded_payload(block: Column | str) -> Column:
-    """The body with transfer and content coding undone; null where it is damaged."""
-    coding = F.lower(F.coalesce(http_header(block, "Content-Encoding"), F.lit("")))
-    body = payload(block)
-    packed = coding.isin("gzip", "x-gzip", "deflate", "zstd")
-    return F.when(packed, _content_decoded(F.when(packed, body), coding)).otherwise(body)
+def with_payload(df: DataFrame, block: str, out: str, decode: bool = False) -> DataFrame:
+    """df with the body of an HTTP block as `out`: transfer coding undone, and with `decode` content coding too.
+
+    Empty for statuses without a body; null where a message can't be read. The header block is found once and its
+    parts are columns of a projection below, so that a block isn't searched again for each of them. Only chunked
+    and compressed bodies travel to Python.
+    """
+    names = {c.lower() for c in df.columns}
+    p = "__http"
+    while any(n.startswith(p) for n in names):
+        p += "_"
+    head, raw = F.col(f"{p}_head"), F.col(f"{p}_raw")
+    df = df.withColumn(f"{p}_head", _head_text(block))
+    body = F.col(block).cast("binary")
+    df = df.withColumns({
+        f"{p}_raw": F.substring(body, F.length(head) + 5, F.octet_length(body)),
+        f"{p}_none": F.regexp_extract(F.substring_index(head, "\r\n", 1), r"^HTTP/\d\.\d (\d{3})", 1).rlike("^(1..|204|304)$"),
+        f"{p}_chunked": F.lower(F.coalesce(_header_of(head, "Transfer-Encoding"), F.lit(""))).contains("chunked"),
+        f"{p}_size": F.nullif(F.regexp_extract(F.coalesce(_header_of(head, "Content-Length"), F.lit("")), r"^\d{1,18}$", 0), F.lit("")).cast("long"),
+        f"{p}_coding": F.lower(F.coalesce(_header_of(head, "Content-Encoding"), F.lit(""))),
+    })
+    none, chunked, size = F.col(f"{p}_none"), F.col(f"{p}_chunked"), F.col(f"{p}_size")
+    whole = F.when(size.isNull(), raw).when(F.octet_length(raw) >= size, F.substring(raw, F.lit(1), size.cast("int")))
+    plain = F.when(none, F.lit(b"")).when(~chunked, whole)
+    df = df.withColumn(out, F.coalesce(plain, _transfer_decoded(F.when(chunked & ~none, raw))))
+    if decode:
+        packed = F.col(f"{p}_coding").isin("gzip", "x-gzip", "deflate", "zstd")
+        df = df.withColumn(out, F.when(packed, _content_decoded(F.when(packed, F.col(out)), F.col(f"{p}_coding"))).otherwise(F.col(out)))
+    return df.drop(*(f"{p}_{n}" for n in ("head", "raw", "none", "chunked", "size", "coding")))
 
 
 def is_response_record(warc_type: Column | str, content_type: Column | str) -> Column:

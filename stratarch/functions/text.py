@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -130,6 +131,11 @@ def extension(name: Column | str) -> Column:
     return F.regexp_extract(_col(name), r"(\.[^./]*)$", 1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fit(name: Column, most: int) -> Column:
     return F.when(F.octet_length(name) > most, F.concat(F.substring(name, F.lit(1), F.lit(most) - F.length(extension(name))), extension(name))).otherwise(name)
 
@@ -141,18 +147,18 @@ def output_name(uri: Column | str, disposition: Column | str) -> Column:
     disposition that can't be parsed adds `.pdf`. Names are cut to 255, their extension kept; slashes become
     underscores.
     """
-    u, d = _col(uri), F.coalesce(_col(disposition), F.lit(""))
-    trimmed = F.regexp_replace(u, "/+$", "")
-    base = F.when(F.coalesce(u, F.lit("")) == "", F.lit(".")).when(trimmed == "", F.lit("/")).otherwise(F.substring_index(trimmed, "/", -1))
-    parses = d.rlike(r"^\s*[!#$%&'*+.^_`|~0-9A-Za-z\-]+\s*(;\s*[!#$%&'*+.^_`|~0-9A-Za-z\-]+\s*=\s*(\"[^\"]*\"|[!#$%&'*+.^_`|~0-9A-Za-z\-]+)\s*)*;?\s*$")
-    quoted, plain = F.regexp_extract(d, r"(?i);\s*filename\s*=\s*\"([^\"]*)\"", 1), F.regexp_extract(d, r"(?i);\s*filename\s*=\s*([^\";\s]+)", 1)
-    named = F.when(quoted != "", quoted).otherwise(plain)
-    name = (
-        F.when(d == "", base)
-        .when(parses, F.when(named != "", named).otherwise(base))
-        .otherwise(F.when(base.endswith(".pdf"), base).otherwise(F.concat(base, F.lit(".pdf"))))
-    )
-    return F.replace(_fit(name, MAX_NAME), F.lit("/"), F.lit("_"))
+    u, d = F.coalesce(_col(uri), F.lit("")), F.coalesce(_col(disposition), F.lit(""))
+    base = F.coalesce(F.nullif(F.regexp_extract(u, "([^/]+)/*$", 1), F.lit("")), F.when(u == "", ".").otherwise("/"))
+    token = r"[!#$%&'*+.^_`|~0-9A-Za-z\-]+"
+    grammar = rf"^\s*{token}\s*(;\s*{token}\s*=\s*(\"[^\"]*\"|{token})\s*)*;?\s*$"
+    filename = r"(?i);\s*filename\s*=\s*(?:\"([^\"]*)\"|([^\";\s]+))"
+
+    def named(x: Column) -> Column:
+        given = F.nullif(F.concat(F.regexp_extract(x, filename, 1), F.regexp_extract(x, filename, 2)), F.lit(""))
+        broken = (x != "") & ~x.rlike(grammar)
+        return _let(base, lambda b: F.when(broken, F.when(b.endswith(".pdf"), b).otherwise(F.concat(b, F.lit(".pdf")))).otherwise(F.coalesce(given, b)))
+
+    return F.replace(_let(_let(d, named), lambda n: _fit(n, MAX_NAME)), F.lit("/"), F.lit("_"))
 
 
 def hashed_name(name: Column | str, payload_digest: Column | str) -> Column:

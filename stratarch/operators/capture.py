@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import digest
-from ..functions.http import payload, request_target_uri
+from ..functions.http import request_target_uri, with_payload
 
 
 def name_uuid(*parts: Column | str) -> Column:
@@ -20,9 +20,10 @@ def capture_records(captures: DataFrame, algorithm: str = "sha1") -> DataFrame:
     """Two records for every capture (seq, capture_time, scheme, request, response, ip): the response first, both with
     `batch_id`, the request's URI, and each other's id. Captures without a readable request are left out."""
     uri = request_target_uri("scheme", "request")
-    base = captures.withColumn("target_uri", uri).where(F.col("target_uri").isNotNull()).withColumns({
+    named = captures.withColumn("target_uri", uri).where(F.col("target_uri").isNotNull())
+    base = with_payload(named, "response", "__payload").withColumns({
         "__res": name_uuid(F.lit("response"), "seq", "target_uri"), "__req": name_uuid(F.lit("request"), "seq", "target_uri"),
-        "payload_digest": digest(payload("response"), algorithm)})
+        "payload_digest": digest("__payload", algorithm)})
     sides = F.explode(F.array(
         F.struct(F.lit("response").alias("warc_type"), F.col("__res").alias("record_id"), F.col("__req").alias("concurrent_to"), F.col("response").alias("content"), F.col("payload_digest").alias("payload_digest")),
         F.struct(F.lit("request").alias("warc_type"), F.col("__req").alias("record_id"), F.col("__res").alias("concurrent_to"), F.col("request").alias("content"), F.lit(None).cast("string").alias("payload_digest"))))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import sha1
-from ..functions.http import content_type_matches, decoded_payload, http_content_type, http_header, is_response_record
+from ..functions.http import content_type_matches, http_content_type, http_header, is_response_record, with_payload
 from ..functions.text import escapes_folder, hashed_name, output_name, url_host
 from ..sources.files import locate
 
@@ -32,10 +32,9 @@ def extract_plan(selected: DataFrame, host_sort: bool = False) -> DataFrame:
 
     `folder` is the host with its port under `host_sort`, else empty. Names that lead out of the folder are refused.
     """
-    named = selected.withColumns({
+    named = with_payload(selected, "content", "payload", decode=True).withColumns({
         "folder": url_host("target_uri") if host_sort else F.lit(""),
         "name": output_name("target_uri", http_header("content", "Content-Disposition")),
-        "payload": decoded_payload("content"),
     })
     refused = escapes_folder(F.when(F.col("folder") == "", F.col("name")).otherwise(F.concat("folder", F.lit("/"), "name")))
     return named.withColumns({"refused": refused | F.col("payload").isNull(), "payload_sha1": sha1("payload")})

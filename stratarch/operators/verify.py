@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import digest_matches, digest_prefix, is_digest_supported
-from ..functions.http import has_crawler_encoding, header_end, is_response_record, payload
+from ..functions.http import has_crawler_encoding, is_response_record, with_payload
 from ..schema import VERSIONS
 
 
@@ -34,13 +34,13 @@ def verify_records(records: DataFrame, strict: bool = False, blake: bool = True)
 
     # texts of rows that aren't checked go to no hash and no Python function
     marked = records.withColumn("checked", checked).withColumn("__content", F.when(F.col("checked"), F.col("content")))
-    marked = marked.withColumn("__payload", F.when(body.isNotNull(), payload("__content")))
-    unreadable = header_end("__content").isNull() | has_crawler_encoding("__content") | F.col("__payload").isNull()
+    marked = with_payload(marked.withColumn("__message", F.when(body.isNotNull(), F.col("__content"))), "__message", "__payload")
+    unreadable = has_crawler_encoding("__message") | F.col("__payload").isNull()
     return marked.withColumns({
         "block_errors": when_checked(block.isNull() | wrong(F.col("__content"), block)),
         "payload_errors": when_checked(body.isNotNull() & (unreadable | wrong(F.col("__payload"), body))),
         "version_errors": when_checked(~version_valid("version")),
-    }).drop("__content", "__payload")
+    }).drop("__content", "__message", "__payload")
 
 
 def verify_rollup(verified: DataFrame) -> DataFrame:
