@@ -11,7 +11,13 @@ from .shared import drop_path, key_columns, materialize, maybe_broadcast
 from .textbatch import U64, WORD, TextBatch, batches, distinct, grams, int64, mix, starts_of_runs
 
 #: Second-level partitions of each first-level one; signatures enumerate its subsets of SUB - 1.
-SUB = 4
+SUB = 3
+#: Extra first-level partitions, in percent; they pay for signatures that may be left out.
+SPARE = 30
+#: Signatures that a pair must share to be a candidate; plan() sees to it that similar sets do.
+SHARED = 3
+#: Counters of how many sets hold an element, by its hash. Their number is fixed; they only rank signatures.
+COUNTERS = 1 << 16
 _C = U64(0x9E3779B97F4A7C15)
 
 
@@ -26,16 +32,17 @@ def bands(threshold: float, most: int) -> np.ndarray:
 def plan(threshold: float, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per band: first-level partitions, and how many of its weakest signatures a set may leave out.
 
-    Two sets of the band's join differ in at most k elements, so at most k // 2 first-level partitions hold two or
-    more differences. Any other one keeps, of its SUB second-level partitions, SUB - 1 equal: one shared signature.
-    With `spare` partitions beyond k // 2 + 1 a pair shares at least spare + 1 signatures. All sets rank equal
-    signatures alike, so when each leaves out its `spare` weakest, the strongest shared one remains with both.
+    Two sets of the band's join differ in at most k elements. A first-level partition with no difference shares SUB
+    signatures, one with a single difference shares the one that leaves that cell out. With n partitions that makes
+    at least 2 n - k shared signatures, however the differences fall. All sets rank equal signatures alike, so when
+    each leaves out its 2 n - k - SHARED weakest, the SHARED strongest shared ones remain with both. Sets that may
+    not differ at all have no signatures: equal ones are known by their hash.
     """
     high = np.floor(low / threshold + 1e-9)
     k = np.floor(2 * high * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
     need = k // 2 + 1
-    spare = (need * 15) // 100
-    return need + spare, spare
+    parts = np.maximum(need + need * SPARE // 100, (k + SHARED + 1) // 2)
+    return np.where(k > 0, parts, 0), np.where(k > 0, 2 * parts - k - SHARED, 0)
 
 
 class Sets:
@@ -47,10 +54,6 @@ class Sets:
         h, gram_doc, at = grams(t.hashes(starts, ends), doc, n)
         keep = distinct(gram_doc, h)
         self.doc, self.element = gram_doc[keep], h[keep]
-        # bytes of the n-gram: long ones are rare ones, which is all that the ranking of signatures needs
-        last = np.minimum(at[keep] + n - 1, max(len(starts) - 1, 0))
-        same = doc[last] == self.doc if len(starts) else np.zeros(0, bool)
-        self.weight = np.where(same, ends[last] - starts[at[keep]], 1) if len(starts) else np.zeros(0, np.int64)
         self.size = np.bincount(self.doc, minlength=t.n)
         total = np.zeros(len(self.element) + 1, U64)
         np.cumsum(mix(self.element ^ _C), out=total[1:])
@@ -58,11 +61,20 @@ class Sets:
         self.id = mix((total[border[1:]] - total[border[:-1]]) + self.size.astype(U64) * _C)
 
 
-def signatures(s: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(index of text, signature) for the band of each set and the next one up."""
+def counter(element: np.ndarray) -> np.ndarray:
+    return (mix(element ^ _C) >> U64(48)).astype(np.int64)
+
+
+def signatures(s: Sets, threshold: float, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of text, signature) for the band of each set and the next one up.
+
+    A signature is as strong as its elements are rare, by `rarity` of their counters; weak ones, of few or common
+    elements, are what unlike sets share by chance.
+    """
+    rare = rarity[counter(s.element)]
     low = bands(threshold, int(s.size.max(initial=1)))
     low = np.append(low, int(low[-1] / threshold) + 1)
-    parts, spare = plan(threshold, low)
+    parts, leave = plan(threshold, low)
     own = np.searchsorted(low, s.size, "right") - 1
     out_doc, out_sig = [], []
     for up in (0, 1):
@@ -73,10 +85,12 @@ def signatures(s: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         cells = np.where(used, parts[np.maximum(band, 0)], 0)
         base = np.append(0, np.cumsum(cells))
         pick = used[s.doc]
-        doc, element, weight = s.doc[pick], s.element[pick], s.weight[pick]
+        doc, element, weight = s.doc[pick], s.element[pick], rare[pick]
+        some = cells[doc] > 0
+        doc, element, weight = doc[some], element[some], weight[some]
         spread = mix(element + band[doc].astype(U64))
         group = base[doc] + ((spread >> U64(32)) % cells[doc].astype(U64)).astype(np.int64) if len(doc) else doc
-        cell = group * SUB + (spread & U64(SUB - 1)).astype(np.int64) if len(doc) else doc
+        cell = group * SUB + (spread % U64(SUB)).astype(np.int64) if len(doc) else doc
         n = int(base[-1]) * SUB
         value = mix(element)
         half = [np.bincount(cell, weights=(v & U64(0xFFFFFFFF)).astype(np.float64), minlength=n).astype(np.int64).astype(U64) for v in (value, value >> U64(32))]
@@ -89,31 +103,60 @@ def signatures(s: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         sig = mix(rest + tag[:, None] + np.arange(SUB, dtype=U64)[None, :]).ravel()
         strong = (strength.sum(1)[:, None] - strength).ravel()
         who = np.repeat(owner, SUB)
-        # leave out the `spare` weakest of each set
+        # leave out the weakest of each set
         order = np.argsort((who.astype(U64) << U64(44)) | (np.minimum(strong, 4095).astype(U64) << U64(32)) | (sig >> U64(32)))
         first = np.append(0, np.cumsum(cells * SUB))
         rank = np.arange(len(order)) - np.repeat(first[:-1], cells * SUB)
-        stays = order[rank >= spare[np.maximum(band, 0)][who[order]]]
+        stays = order[rank >= leave[np.maximum(band, 0)][who[order]]]
         out_doc.append(who[stays])
         out_sig.append(sig[stays])
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
 def _sets(n: int):
+    """A row for each text, and behind a task's last one a row with its counters alone."""
+
     def run(it):
+        counts = np.zeros(COUNTERS, np.int64)
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
-            yield pa.RecordBatch.from_arrays(
-                [part["did"], part["th"], int64(s.id), int64(s.size), pa.array(sketches(s), pa.binary())], ["did", "th", "sid", "size", "sketch"])
+            counts += np.bincount(counter(s.element), minlength=COUNTERS)
+            columns = [part["did"], part["th"], int64(s.id), int64(s.size), pa.array(sketches(s), pa.binary()), pa.nulls(len(s.size), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _SET_NAMES)
+        if counts.any():
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([counts.tobytes()])], _SET_NAMES)
 
     return run
 
 
-def _signature_rows(n: int, threshold: float):
+_SET_NAMES = ["did", "th", "sid", "size", "sketch", "counts"]
+
+
+def _counter_rows(it):
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in it:
+        for c in batch.column(0):
+            total += np.frombuffer(c.as_buffer(), np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+
+def _rarity(rows: DataFrame) -> np.ndarray:
+    """Sixteenths of a bit of information by counter; the driver gets COUNTERS rows at most."""
+    summed = rows.where("counts is not null").select("counts").mapInArrow(_counter_rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sets = max(1, rows.where("counts is null").count())
+    out = np.full(COUNTERS, sets, np.float64)
+    for r in summed.collect():
+        out[r.at] = max(1.0, sets / r.n)
+    return np.maximum(1, np.round(16 * np.log2(out))).astype(np.int64)
+
+
+def _signature_rows(n: int, threshold: float, rarity: np.ndarray):
     def run(it):
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
-            doc, sig = signatures(s, threshold)
+            doc, sig = signatures(s, threshold, rarity)
             yield pa.RecordBatch.from_arrays([int64(sig), int64(s.id[doc])], ["sig", "sid"])
 
     return run
@@ -132,38 +175,52 @@ def _element_rows(n: int):
 
 
 def _pairs_of_runs(it):
-    """Rows sorted by (sig, sid) to distinct pairs of sids within each sig; a batch's last run waits for the next."""
-    left_sig, left_sid = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows sorted by (sig, sid) to pairs of sids and how many of a batch's signatures they share; a batch's last run
+    waits for the next."""
+    left = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def given(a, b):
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(starts_of_runs(a) | starts_of_runs(b))
+        c = np.diff(np.append(first, len(a))).astype(np.int32)
+        for k in range(0, len(first), 1 << 16):
+            at = first[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[k : k + (1 << 16)])], ["a", "b", "c"])
 
     def pairs(sig, sid):
         new = starts_of_runs(sig) | starts_of_runs(sid)
         sig, sid = sig[new], sid[new]
         first = np.flatnonzero(starts_of_runs(sig))
         length = np.diff(np.append(first, len(sig)))
-        a, b = [], []
+        a, b, held = [], [], 0
         for size in np.unique(length[length > 1]):
             at = first[length == size]
             i, j = np.triu_indices(int(size), 1)
-            for k in range(0, len(at), max(1, (1 << 20) // len(i))):
-                block = at[k : k + max(1, (1 << 20) // len(i)), None]
+            step = max(1, (1 << 20) // len(i))
+            for k in range(0, len(at), step):
+                block = at[k : k + step, None]
                 a.append(sid[(block + i[None, :]).ravel()])
                 b.append(sid[(block + j[None, :]).ravel()])
+                held += len(a[-1])
+                if held > 1 << 21:
+                    yield from given(a, b)
+                    a, b, held = [], [], 0
         if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if sum(map(len, a)) < 1 << 22 else np.stack([np.concatenate(a), np.concatenate(b)], 1)
-            for k in range(0, len(both), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[k : k + (1 << 16), c])) for c in (0, 1)], ["a", "b"])
+            yield from given(a, b)
 
     for batch in it:
-        sig = np.concatenate([left_sig, batch.column(0).to_numpy()])
-        sid = np.concatenate([left_sid, batch.column(1).to_numpy()])
-        if not len(sig):
+        columns = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(left)]
+        if not len(columns[0]):
             continue
-        cut = int(np.searchsorted(sig, sig[-1]))
-        left_sig, left_sid = sig[cut:], sid[cut:]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        left = [c[cut:] for c in columns]
         if cut:
-            yield from pairs(sig[:cut], sid[:cut])
-    if len(left_sig):
-        yield from pairs(left_sig, left_sid)
+            yield from pairs(*(c[:cut] for c in columns))
+    if len(left[0]):
+        yield from pairs(*left)
 
 
 def _verify(threshold: float):
@@ -278,11 +335,13 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     spark = docs.sparkSession
     text = F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")
     keyed = docs.select(*key_columns(id_col, text_col), text)
-    rows, _ = materialize(keyed.mapInArrow(_sets(n), "did long, th long, sid long, size long, sketch binary"), "sets")
-    sigs = keyed.select("text").mapInArrow(_signature_rows(n, threshold), "sig long, sid long")
-    found = sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_pairs_of_runs, "a long, b long")
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates, path = materialize(ordered, "candidates")
+    rows, _ = materialize(keyed.mapInArrow(_sets(n), "did long, th long, sid long, size long, sketch binary, counts binary"), "sets")
+    rarity = _rarity(rows)
+    rows = rows.where("counts is null").drop("counts")
+    sigs = keyed.select("text").mapInArrow(_signature_rows(n, threshold, rarity), "sig long, sid long")
+    found = sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_pairs_of_runs, "a long, b long, c int")
+    often = found.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
+    candidates, path = materialize(often, "candidates")
     known = rows.groupBy("sid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     left = _meet(candidates, known, ["size", "sketch"], _far_apart(threshold), "a long, b long", "near")
     drop_path(spark, path)
