@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALGORITHMS = ("sha1", "sha256_base16", "sha256_base32", "blake3")
 SUPPORTED_PREFIXES = ("sha1", "sha-1", "sha256", "sha-256", "blake3")
@@ -113,7 +114,7 @@ def blake3_many(messages: list[bytes]) -> list[str]:
     return [row.astype("<u4").tobytes().hex() for row in chain]
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _blake3(content: pa.Array) -> pa.Array:
     out: list[str | None] = [None] * len(content)
     held: list[int] = []

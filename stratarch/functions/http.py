@@ -7,6 +7,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")
 
@@ -142,12 +143,12 @@ def decoded(data: bytes, coding: str) -> bytes | None:
     return data
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _transfer_decoded(body: pa.Array) -> pa.Array:
     return pa.array([None if x is None else dechunk(x) for x in body.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _content_decoded(body: pa.Array, coding: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decoded(x, c or "") for x, c in zip(body.to_pylist(), coding.to_pylist())], pa.binary())
 
