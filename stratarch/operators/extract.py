@@ -76,7 +76,7 @@ def write_payloads(plan: DataFrame, folder: str, hash_suffix: bool = False, allo
         *keys, "folder", "name", "out_name", "refused", F.when(F.col("out_name").isNotNull(), F.col("payload")).alias("payload"))
 
     def same(system: fs.FileSystem, path: str, data: bytes) -> bool:
-        with system.open_input_stream(path) as f:
+        with system.open_input_stream(path, compression=None) as f:
             return f.read() == data
 
     def put(system: fs.FileSystem, base: str, sub: str, name: str, out: str, data: bytes) -> tuple[str, str]:
@@ -95,7 +95,7 @@ def write_payloads(plan: DataFrame, folder: str, hash_suffix: bool = False, allo
             elif not allow_overwrite:
                 return out, "exists"
         system.create_dir(home, recursive=True)
-        with system.open_output_stream(f"{path}.open") as f:
+        with system.open_output_stream(f"{path}.open", compression=None) as f:
             f.write(data)
         system.move(f"{path}.open", path)
         return out, "written"

@@ -21,10 +21,10 @@ def file_heads(files: DataFrame) -> DataFrame:
     """Adds `is_gzip`, from each file's first two bytes; a file that can't be read isn't one."""
 
     @F.udf("boolean")
-    def gzip(path: str) -> bool:
+    def gzip(path):
         try:
             system, inner = locate(path)
-            with system.open_input_stream(inner) as f:
+            with system.open_input_stream(inner, compression=None) as f:
                 return f.read(2) == b"\x1f\x8b"
         except OSError:
             return False
@@ -127,7 +127,7 @@ def _truncate(system: fs.FileSystem, path: str, size: int) -> None:
         return
     # stores without truncation: the part that stays is copied and takes the file's place
     part = f"{path}.part"
-    with system.open_input_stream(path) as source, system.open_output_stream(part) as sink:
+    with system.open_input_stream(path, compression=None) as source, system.open_output_stream(part, compression=None) as sink:
         left = size
         while left and (data := source.read(min(left, 1 << 22))):
             sink.write(data)

@@ -232,7 +232,7 @@ class ArchiveWriter(DataSourceWriter):
         self.dictionary = None
         if "dictionary" in options:
             system, inner = locate(options["dictionary"])
-            with system.open_input_stream(inner) as f:
+            with system.open_input_stream(inner, compression=None) as f:
                 self.dictionary = f.read()
         codec.Encoder(self.compression, self.dictionary, self.level)  # fails early on bad options
         system, inner = locate(path)
@@ -298,7 +298,7 @@ class _Files:
         stamp = at.strftime("%Y%m%d%H%M%S") + f"{at.microsecond // 1000:03d}"
         name = f"{self.w.prefix}-{stamp}-{self.serial:05d}-{self.w.host}-{self.tag}.warc{self.encoder.suffix}.open"
         self.files.append(name)
-        self.sink = self.system.open_output_stream(f"{self.base}/{name}")
+        self.sink = self.system.open_output_stream(f"{self.base}/{name}", compression=None)
         self.sink.write(self.encoder.head)
         self.size = len(self.encoder.head)
         block = "".join(f"{k}: {v}\r\n" for k, v in sorted({
@@ -452,7 +452,7 @@ def read_archives_stream(spark: SparkSession, folder: str, files_per_trigger: in
     """A stream of records from archives as they are published in a folder; files still `.open` are left for later."""
     from pyspark.sql import functions as F
 
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
     return decode_files(files.where(~F.col("path").endswith(".open")), content)
 
 
