@@ -7,11 +7,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import listing, locate
 from .shared import drop_path, key_columns, materialize, maybe_broadcast, original_id
-from .textbatch import SPACE, TextBatch, batches
+from .textbatch import SPACE, U64, TextBatch, _powers, batches, mix, starts_of_runs
 
 
 class SuffixAutomaton:
@@ -115,31 +117,240 @@ def divergence(tokens: int, cross: int, own: int) -> float | None:
     return (cross * math.log2(tokens) - own * math.log2(max(own, 1))) / tokens
 
 
-def _tokens(t: TextBatch) -> list[list[int]]:
+#: Words of documents that are matched at a time, and positions that are searched at a time.
+CHUNK_WORDS, SEARCHED = 1_200_000, 1 << 16
+#: Reference words of an index, in units of `reference_words`; bytes of a row that holds a part of an index.
+UNITS, PART_BYTES = 32, 4 << 20
+#: A filter has the sequences of up to this many words.
+LONGEST = 8
+_TEXT_END = U64(1 << 63)  # words have the top bit clear, ends of reference texts are above this
+
+
+def _tokens(t: TextBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Words as 63-bit hashes, and how many each text has."""
     starts, ends = t.spans(~SPACE[t.buf])
-    h = t.hashes(starts, ends).tolist()
-    border = np.searchsorted(t.doc_of(starts), np.arange(t.n + 1)).tolist()
-    return [h[a:b] for a, b in zip(border, border[1:])]
+    return t.hashes(starts, ends) >> U64(1), np.bincount(t.doc_of(starts), minlength=t.n)
+
+
+def suffix_array(words: np.ndarray) -> np.ndarray:
+    """Positions in the order of what follows them, by prefix doubling; the last word must be unique."""
+    _, rank = np.unique(words, return_inverse=True)
+    at = np.argsort(rank, kind="stable")
+    rank = np.searchsorted(rank[at], rank)  # a group of equal prefixes is known by its first place
+    order, n, k, open_ = at, len(words), 1, np.arange(len(words))
+    while True:
+        group = rank[order[open_]]
+        single = starts_of_runs(group) & np.append(starts_of_runs(group)[1:], True)
+        open_ = open_[~single]
+        if not len(open_):
+            return order.astype(np.int32)
+        p = order[open_]
+        key = rank[p] * n + rank[p + k]
+        by = np.argsort(key)
+        order[open_] = p[by]
+        first = np.where(starts_of_runs(key[by]), open_, 0)
+        rank[p[by]] = np.maximum.accumulate(first)
+        k *= 2
+
+
+class Sequence:
+    """Words with hashes of all their windows."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.sums = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * _powers(len(words) + 1)[0][: len(words)], out=self.sums[1:])
+
+    def grams(self, at: np.ndarray, size) -> np.ndarray:
+        """Hashes of the windows at `at`; one that would pass the end is cut."""
+        to = np.minimum(at + size, len(self.words))
+        return mix((self.sums[to] - self.sums[at]) * _powers(len(self.words) + 1)[1][at] + (to - at).astype(U64))
+
+
+def _same(a: Sequence, i, b: Sequence, j, size) -> np.ndarray:
+    if size == 1:
+        return a.words[np.minimum(i, len(a.words) - 1)] == b.words[np.minimum(j, len(b.words) - 1)]
+    p, _ = _powers(max(len(a.words), len(b.words)) + 1)
+    x, y = i + size, j + size
+    ok = (x <= len(a.words)) & (y <= len(b.words))
+    x, y = np.minimum(x, len(a.words)), np.minimum(y, len(b.words))
+    return ok & ((a.sums[x] - a.sums[i]) * p[j] == (b.sums[y] - b.sums[j]) * p[i])
+
+
+def common_length(a: Sequence, i: np.ndarray, b: Sequence, j: np.ndarray) -> np.ndarray:
+    """How many words are equal from each i and j on."""
+    n, failed, live, step = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.arange(len(i)), 1
+    while len(live):
+        ok = _same(a, i[live] + n[live], b, j[live] + n[live], step)
+        failed[live[~ok]] = step
+        live = live[ok]
+        n[live] += step
+        step *= 2
+    while step > 1:
+        step //= 2
+        live = np.flatnonzero(failed > step)
+        if len(live):
+            n[live[_same(a, i[live] + n[live], b, j[live] + n[live], step)]] += step
+    return n
+
+
+class Index:
+    """Suffix array of some reference texts, with a filter of their sequences of up to LONGEST words."""
+
+    def __init__(self, words, order, bits, ends, did, th):
+        self.text, self.order, self.bits, self.ends = Sequence(words), order, bits, ends
+        self.own = {k: i for i, k in enumerate(zip(did.tolist(), th.tolist()))}
+        first = words[order]
+        self.places = np.flatnonzero(np.append(starts_of_runs(first), True))
+        self.vocabulary = first[self.places[:-1]]
+        # nearest place before and behind that belongs to another text
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))[order]
+        change = starts_of_runs(owner)
+        new, run = np.flatnonzero(change).astype(np.int32), np.cumsum(change, dtype=np.int32) - 1
+        self.owner, self.before, self.behind = owner, new[run] - 1, np.append(new[1:], np.int32(len(order)))[run]
+
+    @staticmethod
+    def build(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words with an end of its own behind each text, suffix array, filter, places of the ends)"""
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        words = np.concatenate([x for k, t in enumerate(texts) for x in (t, [_TEXT_END + U64(k + 1)])]).astype(U64)
+        s, at = Sequence(words), np.arange(len(words))
+        size = 1 << max(10, (32 * len(words)).bit_length())
+        bits = np.zeros(size, bool)
+        for n in range(1, LONGEST + 1):
+            bits[s.grams(at, n) & U64(size - 1)] = True
+        return words, suffix_array(words), np.packbits(bits), ends
+
+    def maybe(self, grams: np.ndarray) -> np.ndarray:
+        """False only for sequences that no text has."""
+        g = grams & U64(8 * len(self.bits) - 1)
+        return (self.bits[g >> U64(3)] >> (U64(7) - (g & U64(7))).astype(np.uint8)) & 1 > 0
 
+    def longest(self, doc: Sequence, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Words that match from each place on in any text but `own`."""
+        word = np.minimum(np.searchsorted(self.vocabulary, doc.words[at]), len(self.vocabulary) - 1)
+        live = np.flatnonzero(self.vocabulary[word] == doc.words[at])
+        out = np.zeros(len(at), np.int64)
+        known, at, own, word = live, at[live], own[live], word[live]
+        lo, hi = self.places[word], self.places[word + 1]
+        live = np.arange(len(at))
+        while len(live):
+            mid = (lo[live] + hi[live]) // 2
+            i, j = at[live], self.order[mid].astype(np.int64)
+            n = common_length(doc, i, self.text, j)
+            less = self.text.words[j + n] < doc.words[i + n]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        for place, other in ((lo - 1, self.before), (lo, self.behind)):
+            ok = np.flatnonzero((place >= 0) & (place < len(self.order)))
+            place = place[ok]
+            place = np.where(self.owner[place] == own[ok], other[place], place)
+            inside = (place >= 0) & (place < len(self.order))
+            ok, place = ok[inside], place[inside]
+            out[known[ok]] = np.maximum(out[known[ok]], common_length(doc, at[ok], self.text, self.order[place].astype(np.int64)))
+        return out
 
-def _score_buckets(it):
-    """Rows sorted by (bucket, kind): the bucket's reference texts come first, then what is scored against them."""
-    gc.disable()  # automata are many small dicts without cycles; collecting them over and over takes longer than building
-    bucket, machine = None, None
+
+def _build_indexes(it):
+    """Rows sorted by bucket; a bucket's index goes out in parts."""
+
+    def flush(bucket, texts, keys):
+        words, order, bits, ends = Index.build(texts)
+        did, th = np.array(keys, np.int64).T
+        for name, a in enumerate((words, order, bits, ends, did, th)):
+            data = a.tobytes()
+            for k in range(0, len(data), PART_BYTES):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket]), pa.array([name], pa.int32()), pa.array([k]), pa.array([data[k : k + PART_BYTES]], pa.binary())], ["bucket", "name", "at", "data"])
+
+    bucket, texts, keys = None, [], []
     for part in batches(it):
-        tokens = _tokens(TextBatch(part["text"]))
-        did, th, out = part["did"].to_pylist(), part["th"].to_pylist(), []
-        for k, (b, kind) in enumerate(zip(part["bucket"].to_pylist(), part["kind"].to_pylist())):
-            if b != bucket:
-                bucket, machine = b, SuffixAutomaton()
-            if kind == 0:
-                machine.add(tokens[k])
-                continue
-            n, cross, own = len(tokens[k]), machine.phrases(tokens[k]), self_phrases(tokens[k])
-            out.append((did[k], th[k], n, cross, own, machine.tokens, divergence(n, cross, own)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.float64()])], _NAMES)
-    gc.enable()
+        words, count = _tokens(TextBatch(part["text"]))
+        border = np.append(0, np.cumsum(count))
+        for k, key in enumerate(zip(part["bucket"].to_pylist(), part["did"].to_pylist(), part["th"].to_pylist())):
+            if key[0] != bucket:
+                if texts:
+                    yield from flush(bucket, texts, keys)
+                bucket, texts, keys = key[0], [], []
+            texts.append(words[border[k] : border[k + 1]])
+            keys.append(key[1:])
+    if texts:
+        yield from flush(bucket, texts, keys)
+
+
+def _indexes(path: str):
+    """The indexes in a folder, one in memory at a time; a file has whole ones."""
+    kinds = (U64, np.int32, np.uint8, np.int64, np.int64, np.int64)
+    for name, _ in listing(path, False):
+        system, inner = locate(name)
+        with system.open_input_file(inner) as f:
+            file, bucket, parts = pq.ParquetFile(f), None, {}
+            for batch in file.iter_batches(batch_size=1):
+                r = batch.to_pylist()[0]
+                if r["bucket"] != bucket and parts:
+                    yield Index(*(np.frombuffer(b"".join(parts.pop(k)), kind) for k, kind in enumerate(kinds)))
+                bucket = r["bucket"]
+                parts.setdefault(r["name"], []).append(r["data"])
+            if parts:
+                yield Index(*(np.frombuffer(b"".join(parts.pop(k)), kind) for k, kind in enumerate(kinds)))
+
+
+def longest_matches(texts: list[np.ndarray], keys: list[tuple[int, int]], indexes) -> list[np.ndarray]:
+    """For every word of every text, how many words from there on stand in a row in some reference text but its own."""
+    border = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    doc = Sequence(np.concatenate([x for t in texts for x in (t, [_TEXT_END])]).astype(U64))
+    best = np.zeros(len(doc.words), np.int64)
+    wanted = doc.grams(np.arange(len(best)), 1)  # what an index must have to be better
+    for index in indexes:
+        own = np.array([index.own.get(k, -1) for k in keys])
+        found = np.flatnonzero(index.maybe(wanted))
+        for k in range(0, len(found), SEARCHED):
+            at = found[k : k + SEARCHED]
+            n = index.longest(doc, at, own[np.searchsorted(border, at, "right") - 1])
+            more = n > best[at]
+            at, n = at[more], n[more]
+            best[at] = n
+            wanted[at] = doc.grams(at, np.minimum(n + 1, LONGEST))
+        del index  # before the next one is read
+    return [best[a : b - 1] for a, b in zip(border, border[1:])]
+
+
+def greedy_phrases(longest: list[int]) -> int:
+    """Greedy factors: each is the longest match from where the last ended, or one unknown token."""
+    at = count = 0
+    while at < len(longest):
+        at += longest[at] or 1
+        count += 1
+    return count
+
+
+def _score(path: str, reference_tokens: int):
+    def run(it):
+        gc.disable()  # parses make many objects without cycles; collecting them over and over takes longer
+
+        def flush(texts, keys, references):
+            out = []
+            for words, (did, th), ref, longest in zip(texts, keys, references, longest_matches(texts, keys, _indexes(path))):
+                n, cross, own = len(words), greedy_phrases(longest.tolist()), self_phrases(words.tolist())
+                out.append((did, th, n, cross, own, reference_tokens - n * bool(ref), divergence(n, cross, own)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.float64()])], _NAMES)
+
+        texts, keys, references, size = [], [], [], 0
+        for part in batches(it):
+            words, count = _tokens(TextBatch(part["text"]))
+            texts += np.split(words, np.cumsum(count)[:-1])
+            keys += zip(part["did"].to_pylist(), part["th"].to_pylist())
+            references += part["is_reference"].to_pylist()
+            size += len(words) + len(count)
+            if size >= CHUNK_WORDS:
+                yield flush(texts, keys, references)
+                texts, keys, references, size = [], [], [], 0
+        if texts:
+            yield flush(texts, keys, references)
+        gc.enable()
+
+    return run
 
 
 _NAMES = ["did", "th", "tokens", "phrases", "own_phrases", "reference_tokens", "score"]
@@ -152,9 +363,10 @@ def cross_parse_scores(
 
     Result: (doc_id, tokens, phrases, own_phrases, reference_tokens, score), one row for every row of docs.
     Reference texts are all labelled documents of good quality that aren't toxic; each counts once. They are spread
-    by hash over buckets of about `reference_words` words, so what is gathered grows with the corpus while an
-    automaton keeps its size and scores stay comparable. A bucket's automaton scores the documents that hash to
-    the bucket before it: no document meets its own text as reference, save as a copy under another id.
+    over indexes of about UNITS * `reference_words` words, by running sums of their words, so none is
+    empty and none larger by more than one text. Every document is matched with all of them: the longest match at
+    each word is the maximum over the indexes, so scores don't depend on how the reference is spread. No document
+    meets its own text as reference, save as a copy under another id.
 
     Tokens are words between white space. Null, empty and blank texts have 0 tokens and score null. Null labels
     and labels of unknown ids don't count; without reference text every token is a phrase. A null id stays null.
@@ -166,20 +378,20 @@ def cross_parse_scores(
     words = F.regexp_count(text, F.lit(r"\S+")).cast("long")
     marks = labels.groupBy(F.col(id_col).cast("long").alias("m")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good, _ = materialize(marks.where("m is not null and q > 0 and t = 0").select(F.col("m").alias("did")), "good")
-    sizes = docs.select(did, th, words.alias("n")).join(maybe_broadcast(good, 16), "did", "left_semi").dropDuplicates(["did", "th"])
-    sizes, path = materialize(sizes, "reference")
+    sizes = docs.select(did, th, words.alias("n")).join(maybe_broadcast(good, 16), "did", "left_semi").where("n > 0").dropDuplicates(["did", "th"])
+    sizes, sizes_path = materialize(sizes, "reference")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(2, -(-total // reference_words))
-    home = F.pmod(F.xxhash64("did", "th"), F.lit(buckets))
+    size = UNITS * reference_words
+    spread = F.pmod(F.xxhash64("did", "th"), F.lit(-(-total // (8 * size)) or 1))
+    before = F.sum("n").over(Window.partitionBy("s").orderBy("did", "th").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.withColumn("s", spread).select(
+        "did", "th", (F.col("s") * F.lit(1 << 32) + F.floor(F.coalesce(before, F.lit(0)) / size)).alias("bucket"))
+    placed, _ = materialize(placed, "placed")
+    drop_path(spark, sizes_path)
     keyed = docs.select(did, th, F.coalesce(text, F.lit("")).alias("text"))
-    known, _ = materialize(sizes.select("did").distinct(), "known")
-    drop_path(spark, path)
-    flagged = keyed.join(maybe_broadcast(known.withColumn("is_reference", F.lit(True)), 16), "did", "left")
-    # a reference row goes to its own bucket and, as a document, to the next one
-    copies = F.when(F.col("is_reference"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    rows = flagged.withColumn("kind", F.explode(copies)).select(
-        F.when(F.col("kind") == 0, home).otherwise(F.pmod(home + 1, F.lit(buckets))).alias("bucket"), "kind", "did", "th", "text")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "did", "th")
-    out = rows.mapInArrow(_score_buckets, "did long, th long, tokens long, phrases long, own_phrases long, reference_tokens long, score double")
+    placed = maybe_broadcast(placed, 24)
+    texts = keyed.join(placed, ["did", "th"]).dropDuplicates(["did", "th"]).repartition("bucket").sortWithinPartitions("bucket", "did", "th")
+    _, path = materialize(texts.mapInArrow(_build_indexes, "bucket long, name int, at long, data binary"), "indexes")
+    flagged = keyed.join(placed.select("did", "th", F.lit(True).alias("is_reference")), ["did", "th"], "left")
+    out = flagged.mapInArrow(_score(path, total), "did long, th long, tokens long, phrases long, own_phrases long, reference_tokens long, score double")
     return out.select(original_id().alias("doc_id"), *_NAMES[2:])
-

@@ -270,6 +270,21 @@ def test_lm_scoring_awkward(spark, messy, labels):
     assert all(r.phrases == r.tokens for r in none)
 
 
+def test_lm_scoring_matches_all_reference_text(spark):
+    rng = random.Random(21)
+    data = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.choice((3, 20, 90))))) for k in range(40)]
+    data += [(50, data[4][1]), (51, data[33][1]), (52, data[33][1]), (53, "")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    # 32 words an index, and all in one
+    for size in (1, 60_000):
+        got = {r.doc_id: r for r in lmscore.cross_parse_scores(docs, labels, reference_words=size).collect()}
+        for k, t in data:
+            reference = [x.split() for j, x in data if j < 40 and j % 2 == 0 and j != k]
+            assert (got[k].phrases, got[k].reference_tokens) == (brute_phrases(reference, t.split()), sum(map(len, reference)))
+        assert got[50].phrases == 1 and got[51].score == got[52].score
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
