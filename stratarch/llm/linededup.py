@@ -63,10 +63,16 @@ def fingerprints(lines: Lines, gram: int, window: int) -> tuple[np.ndarray, np.n
         return at, h
     k = len(at)
     best = np.arange(k)
-    for j in range(1, window):
+
+    def merge(j: int) -> np.ndarray:
+        """Minima of windows joined with those that start j later."""
         to = np.minimum(np.arange(k) + j, k - 1)
-        better = (doc[to] == doc) & (to > best) & (h[to] <= h[best])
-        best = np.where(better, to, best)
+        return np.where((doc[to] == doc) & (h[best[to]] <= h[best]), best[to], best)
+
+    span = 1
+    while span < window:
+        step = min(span, window - span)
+        best, span = merge(step), span + step
     # windows that would reach past a text's last gram don't count, unless the text has too few for one window
     size = np.bincount(doc)[doc]
     whole = (ranks(doc) + window <= size) | (ranks(doc) == 0)
@@ -110,8 +116,8 @@ def _line_rows(long_line, cut):
             t = TextBatch(part["text"])
             lines = Lines(t, long_line, cut)
             count = np.bincount(lines.doc, minlength=t.n)
-            data = lines.hash.tobytes()
-            offsets = np.append(0, np.cumsum(count)).astype(np.int32) * 8
+            data = lines.hash.astype(np.uint32).tobytes()
+            offsets = np.append(0, np.cumsum(count)).astype(np.int32) * 4
             col = pa.Array.from_buffers(pa.binary(), t.n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([part["did"], part["th"], col], ["did", "th", "lines"])
 
@@ -121,7 +127,7 @@ def _line_rows(long_line, cut):
 def _rewrite(long_line, cut, gram, reach, min_words):
     def text_of(t: TextBatch, lines: Lines, lo: int, hi: int, row: int, matches) -> str | None:
         """Text `row`, whose lines are lo..hi, without its repeated runs."""
-        own = lines.hash[lo:hi]
+        own = lines.hash[lo:hi].astype(np.uint32)
         mark = np.zeros(hi - lo, bool)
         for m in matches:
             pairs = np.frombuffer(m["pairs"], ">i4").reshape(-1, 2).astype(np.int64)
@@ -129,7 +135,7 @@ def _rewrite(long_line, cut, gram, reach, min_words):
                 covered(own, own, pairs, gram, reach, mark)
             else:
                 pairs[:, 1] -= m["shift"]
-                covered(own, np.frombuffer(m["lines"], U64), pairs, gram, reach, mark)
+                covered(own, np.frombuffer(m["lines"], np.uint32), pairs, gram, reach, mark)
         a, b = int(t.offsets[row]), int(t.offsets[row + 1])
         edges = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
         out, at = [], a
@@ -165,15 +171,17 @@ def _rewrite(long_line, cut, gram, reach, min_words):
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
-    min_words: int = 25, gram: int = 3, window: int = 4, long_line: int = 8, cut: int = 4,
+    min_words: int = 25, gram: int = 8, window: int = 18, long_line: int = 0, cut: int = 1,
 ) -> DataFrame:
     """docs with later copies of repeated passages deleted; same rows and columns, `length_col` brought up to date.
 
-    Texts are sequences of lines (see Lines). Winnowing picks fingerprints of `gram` lines; of each fingerprint
-    the first place (least id, then text hash, then position) stays, and every later place is joined with it and
-    extended line by line both ways. Extension goes as far as the next fingerprint can be (gram + window lines);
-    what fingerprints and extensions cover forms runs, and a run of at least `min_words` words is deleted, with
-    the white space behind it. Repeats within a text count like those between texts.
+    Texts are sequences of pieces (see Lines), here single words, so a passage falls into the same pieces wherever it
+    stands. Winnowing picks fingerprints of `gram` pieces, at least one in any gram + window - 1 = 25 repeated words;
+    of each fingerprint the first place (least id, then text hash, then position) stays, and every later place is
+    joined with it and extended word by word both ways. Extension goes twice as far as the next fingerprint can be;
+    what fingerprints and extensions cover forms runs, and a run of at least `min_words` words is deleted, with the
+    white space behind it. Repeats within a text count like those between texts. Extension compares words by 32 bits
+    of their hashes.
 
     Null texts stay null, empty ones empty; a text that is all repeats becomes empty, and its row stays. A null
     id comes before all others. Rows equal in id and text are one document and keep equal texts. Other columns
@@ -194,13 +202,13 @@ def dedup_lines(
             F.min("a_pos").alias("lo"), F.max("a_pos").alias("hi"),
             F.array_join(F.sort_array(F.collect_list(F.concat(F.lpad(F.hex("pos"), 8, "0"), F.lpad(F.hex("a_pos"), 8, "0")))), "").alias("pairs")), "matches")
     drop_path(spark, prints_path)
-    reach = gram + window
+    reach = 2 * (gram + window)
     same = F.col("did").eqNullSafe(F.col("a_did")) & F.col("th").eqNullSafe(F.col("a_th"))
     sources, _ = materialize(grouped.where(~same).select(F.col("a_did").alias("did"), F.col("a_th").alias("th")).distinct(), "sources")
     lines = keyed.join(maybe_broadcast(sources, 32), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
     lines = lines.mapInArrow(_line_rows(long_line, cut), "did long, th long, lines binary").select(F.col("did").alias("a_did"), F.col("th").alias("a_th"), "lines")
     shift = F.greatest(F.col("lo") - reach, F.lit(0))
-    piece = F.substring("lines", shift * 8 + 1, (F.col("hi") + gram + reach - shift) * 8)
+    piece = F.substring("lines", shift * 4 + 1, (F.col("hi") + gram + reach - shift) * 4)
     own = grouped.where(same).withColumn("lines", F.lit(None).cast("binary"))
     other = grouped.where(~same).join(lines, ["a_did", "a_th"]).withColumn("lines", piece)
     found = own.unionByName(other).groupBy(F.col("did").alias("m_did"), F.col("th").alias("m_th")).agg(

@@ -408,6 +408,19 @@ def test_line_dedup_passage_inside_one_line(spark):
         assert middle not in got[k] and got[k].split()[:30] == data[k][1].split()[:30] and got[k].split()[-30:] == data[k][1].split()[-30:]
 
 
+def test_line_dedup_every_short_passage_in_unlike_contexts(spark):
+    """Passages of 25 and of 51 words inside longer lines: every word of the later copy goes."""
+    rng = random.Random(22)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    passages = [[word() for _ in range((25, 51)[k % 2])] for k in range(120)]
+    wrap = lambda p, k: " ".join([*(word() for _ in range(30)), f"a{k}", *p, f"b{k}", *(word() for _ in range(30))])
+    data = [(k, wrap(p, k)) for k, p in enumerate(passages)] + [(1000 + k, wrap(p, 1000 + k)) for k, p in enumerate(passages)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for (k, t), p in zip(data[120:], passages):
+        assert got[k - 1000] == data[k - 1000][1]
+        assert got[k] == t.replace(" ".join(p) + " ", "")
+
+
 def test_winnowing_guarantee():
     """Any run of gram + window - 1 equal lines shares a fingerprint; minima are those of brute force."""
     from stratarch.llm.textbatch import TextBatch
