@@ -38,11 +38,60 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+    "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "BSD-notice": "Released under the BSD License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-short-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: What tells a license from its likes: each phrase must align without a word between. `_LOOSE` words may lack.
+CORES = {
+    "MIT-notice": ["MIT License"],
+    "BSD-notice": ["BSD License"],
+    "Apache-2.0-header": ["Apache License, Version 2.0"],
+    "Apache-2.0-notice": ["Apache License, Version 2.0"],
+    "GPL-3.0-header": ["GNU General Public License", "version 3"],
+    "GPL-2.0-header": ["GNU General Public License", "version 2"],
+    "GPL-3.0-notice": ["GNU General Public License, version 3"],
+    "GPL-2.0-notice": ["GNU General Public License, version 2"],
+    "LGPL-2.1-notice": ["GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0-notice": ["GNU Lesser General Public License, version 3"],
+    "AGPL-3.0-notice": ["GNU Affero General Public License, version 3"],
+    "MPL-2.0-notice": ["Mozilla Public License, Version 2.0"],
+    "CC-BY-NC-4.0-notice": ["CC BY-NC 4.0"],
+    "CC-BY-4.0-short-notice": ["CC BY 4.0"],
+    "CC-BY-SA-4.0-short-notice": ["CC BY-SA 4.0"],
+    "CC-BY-4.0-notice": ["Creative Commons Attribution 4.0"],
+    "CC-BY-SA-4.0-notice": ["Creative Commons Attribution-ShareAlike 4.0"],
+    "CC-BY-NC-4.0-long-notice": ["Creative Commons Attribution-NonCommercial 4.0"],
+}
+_LOOSE = "license version 0"
+
+
+def _cores(phrases: list[str], template: list[int]) -> list[list[int]]:
+    """Of each phrase, the template's positions that must align."""
+    loose, out = set(words_of([_LOOSE])[0]), []
+    for p in words_of([p.lower() for p in phrases]):
+        at = next(k for k in range(len(template)) if template[k : k + len(p)] == p)
+        out.append([k for k in range(at, at + len(p)) if template[k] not in loose])
+    return out
+
+
+def _told(pairs: list[tuple[int, int]], cores) -> bool:
+    place = {j: i for i, j in pairs}
+    return all(all(k in place for k in at) and place[at[-1]] - place[at[0]] <= at[-1] - at[0] for at in cores)
+
 
 def words_of(texts: list[str]) -> list[list[int]]:
     """Hashes of the words (letters and digits) of lower-case texts."""
@@ -117,7 +166,7 @@ def patience(a, b, i: int = 0, j: int = 0) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(names: list[str], templates: list[list[int]], least: float):
+def _scan(names: list[str], templates: list[list[int]], least: float, cores: list):
     vocabulary = np.unique(np.array([w for t in templates for w in t], np.uint64))
     weight = np.zeros((len(vocabulary), len(templates)))
     for k, t in enumerate(templates):
@@ -140,7 +189,7 @@ def _scan(names: list[str], templates: list[list[int]], least: float):
                 rows = []
                 for d, k in zip(*np.nonzero(present @ weight >= need)):
                     own = hit[np.searchsorted(hit, border[d]) : np.searchsorted(hit, border[d + 1])]
-                    best = _best(h[border[d] : border[d + 1]], own - border[d], at[own], templates[k], weight[:, k], need[k])
+                    best = _best(h[border[d] : border[d + 1]], own - border[d], at[own], templates[k], weight[:, k], need[k], cores[k])
                     if best:
                         rows.append((d, k, *best))
                 if rows:
@@ -152,7 +201,7 @@ def _scan(names: list[str], templates: list[list[int]], least: float):
     return run
 
 
-def _best(text: np.ndarray, places: np.ndarray, kinds: np.ndarray, template: list[int], weight: np.ndarray, need: float):
+def _best(text: np.ndarray, places: np.ndarray, kinds: np.ndarray, template: list[int], weight: np.ndarray, need: float, cores=()):
     """(matched, first word, last word) of the block that covers most of the template; None below `need`.
 
     Blocks are 2 m words long and start every m words, m being the template's length: whatever spans m words is
@@ -168,7 +217,7 @@ def _best(text: np.ndarray, places: np.ndarray, kinds: np.ndarray, template: lis
             continue
         start = int(block) * m
         pairs = patience(text[start : start + 2 * m].tolist(), template)
-        if len(pairs) >= need and (best is None or len(pairs) > best[0]):
+        if len(pairs) >= need and _told(pairs, cores) and (best is None or len(pairs) > best[0]):
             best = (len(pairs), start + pairs[0][0], start + pairs[-1][0])
     return best
 
@@ -185,6 +234,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     One pass, no shuffle. The check of which words a text has at all is exact: it only leaves out what can't reach
     `coverage`.
     """
+    phrases = CORES if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     words = words_of([t.lower() for t in templates.values()])
     used = [(n, w) for n, w in zip(templates, words) if w]
@@ -193,4 +243,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"doc_id {id_type}, license string, coverage double, matched long, first_word long, last_word long"
     if not used:
         return docs.sparkSession.createDataFrame([], schema)
-    return rows.mapInArrow(_scan([n for n, _ in used], [w for _, w in used], coverage), schema)
+    return rows.mapInArrow(_scan([n for n, _ in used], [w for _, w in used], coverage, [_cores(phrases.get(n, []), w) for n, w in used]), schema)

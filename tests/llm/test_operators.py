@@ -514,6 +514,22 @@ def test_license_scan(spark, corpus):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_notices_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons %s 4.0 International License."
+    gnu = "This work is licensed under the GNU %s."
+    data = [
+        ("Released under the BSD License.", {"BSD-notice"}), ("Released under the MIT License.", {"MIT-notice"}), ("Released under the Apache License.", set()),
+        (gnu % "General Public License, version 2", {"GPL-2.0-notice"}), (gnu % "General Public License, version 3", {"GPL-3.0-notice"}),
+        (gnu % "Lesser General Public License, version 2.1", {"LGPL-2.1-notice"}), ("Licensed under CC BY 4.0.", {"CC-BY-4.0-short-notice"}),
+        ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0-short-notice"}), ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0-notice"}),
+        (cc % "Attribution", {"CC-BY-4.0-notice"}), (cc % "Attribution-NonCommercial", {"CC-BY-NC-4.0-long-notice"}),
+    ]
+    df = spark.createDataFrame([(k, f"some words before. {t} And more behind it.") for k, (t, _) in enumerate(data)], "doc_id long, text string")
+    got = licenses.scan_licenses(df).collect()
+    for k, (_, names) in enumerate(data):
+        assert {r.license for r in got if r.doc_id == k} == names
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
