@@ -113,6 +113,23 @@ def signatures(s: Sets, threshold: float, rarity: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
+#: Bins of a one-permutation minhash, and their size in bits of an element; two neighbouring bins make a band.
+BINS, BIN_BITS = 16, 4
+
+
+def band_keys(s: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many of them each text has): the least element of two neighbouring bins of the hash range each. Near
+    copies share most; a band without elements has no key."""
+    slot = s.doc * BINS + (s.element >> U64(64 - BIN_BITS)).astype(np.int64)
+    first = np.flatnonzero(starts_of_runs(slot))  # elements of a text ascend
+    least = np.zeros(len(s.size) * BINS, U64)
+    least[slot[first]] = s.element[first]
+    least = least.reshape(-1, BINS // 2, 2)
+    key = mix(mix(least[:, :, 0] + np.arange(BINS // 2, dtype=U64)) + least[:, :, 1])
+    some = least.any(2)
+    return key[some], some.sum(1)
+
+
 def _sets(n: int):
     """A row for each text, and behind a task's last one a row with its counters alone."""
 
@@ -121,16 +138,20 @@ def _sets(n: int):
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
             counts += np.bincount(counter(s.element), minlength=COUNTERS)
-            columns = [part["did"], part["th"], int64(s.id), int64(s.size), pa.array(sketches(s), pa.binary()), pa.nulls(len(s.size), pa.binary())]
+            keys, each = band_keys(s)
+            bands = pa.ListArray.from_arrays(np.append(0, np.cumsum(each)).astype(np.int32), int64(keys))
+            columns = [part["id"], part["did"], part["th"], int64(s.id), int64(s.size), pa.array(sketches(s), pa.binary()), bands, pa.nulls(len(s.size), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, _SET_NAMES)
+            id_type = part["id"].type
         if counts.any():
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([counts.tobytes()])], _SET_NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, id_type), none, none, none, none, pa.nulls(1, pa.binary()), pa.nulls(1, bands.type), pa.array([counts.tobytes()])], _SET_NAMES)
 
     return run
 
 
-_SET_NAMES = ["did", "th", "sid", "size", "sketch", "counts"]
+_SET_NAMES = ["id", "did", "th", "sid", "size", "sketch", "bands", "counts"]
 
 
 def _counter_rows(it):
@@ -157,7 +178,8 @@ def _signature_rows(n: int, threshold: float, rarity: np.ndarray):
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
             doc, sig = signatures(s, threshold, rarity)
-            yield pa.RecordBatch.from_arrays([int64(sig), int64(s.id[doc])], ["sig", "sid"])
+            cls = part["cls"].to_numpy()
+            yield pa.RecordBatch.from_arrays([int64(sig), int64(s.id[doc]), pa.array(cls[doc])], ["sig", "sid", "cls"])
 
     return run
 
@@ -174,13 +196,19 @@ def _element_rows(n: int):
     return run
 
 
+#: Pairs that _pairs_of_runs holds at a time.
+HELD = 1 << 21
+
+
 def _pairs_of_runs(it):
-    """Rows sorted by (sig, sid) to pairs of sids and how many of a batch's signatures they share; a batch's last run
-    waits for the next."""
-    left = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    """Rows sorted by (sig, cls, sid) to pairs of sids of unlike classes (0 is none) and how many of a batch's
+    signatures they share; a batch's last run waits for the next.
+
+    Sets of one class never pair here, so a group of near copies costs its rows, not its pairs.
+    """
+    left = [np.zeros(0, np.int64)] * 3
 
     def given(a, b):
-        a, b = np.concatenate(a), np.concatenate(b)
         a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -190,26 +218,24 @@ def _pairs_of_runs(it):
             at = first[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[k : k + (1 << 16)])], ["a", "b", "c"])
 
-    def pairs(sig, sid):
-        new = starts_of_runs(sig) | starts_of_runs(sid)
-        sig, sid = sig[new], sid[new]
-        first = np.flatnonzero(starts_of_runs(sig))
-        length = np.diff(np.append(first, len(sig)))
-        a, b, held = [], [], 0
-        for size in np.unique(length[length > 1]):
-            at = first[length == size]
-            i, j = np.triu_indices(int(size), 1)
-            step = max(1, (1 << 20) // len(i))
-            for k in range(0, len(at), step):
-                block = at[k : k + step, None]
-                a.append(sid[(block + i[None, :]).ravel()])
-                b.append(sid[(block + j[None, :]).ravel()])
-                held += len(a[-1])
-                if held > 1 << 21:
-                    yield from given(a, b)
-                    a, b, held = [], [], 0
-        if a:
-            yield from given(a, b)
+    def pairs(sig, sid, cls):
+        new = starts_of_runs(sig)
+        keep = new | starts_of_runs(sid)
+        sig, sid, cls, new = sig[keep], sid[keep], cls[keep], new[keep]
+        # every member pairs with those of its run that stand behind its own class
+        run_end = _ends(np.flatnonzero(new), len(sig))
+        own_end = _ends(np.flatnonzero(new | starts_of_runs(cls) | (cls == 0)), len(sig))
+        many = run_end - own_end
+        some = np.flatnonzero(many)
+        total = np.cumsum(many[some])
+        at = 0
+        while at < len(some):
+            base = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, base + HELD, "right")))
+            i, n = some[at:to], many[some[at:to]]
+            start = np.repeat(own_end[i] - (np.cumsum(n) - n), n)
+            yield from given(sid[np.repeat(i, n)], sid[start + np.arange(len(start))])
+            at = to
 
     for batch in it:
         columns = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(left)]
@@ -223,6 +249,11 @@ def _pairs_of_runs(it):
         yield from pairs(*left)
 
 
+def _ends(first: np.ndarray, n: int) -> np.ndarray:
+    """For each of n elements, where the run that it is in ends."""
+    return np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) if n else first
+
+
 def _verify(threshold: float):
     """Rows (members: [(sid, elements)], pairs: [(a, b)]) to pairs with their exact similarity."""
 
@@ -325,61 +356,182 @@ def _meet(candidates: DataFrame, sets: DataFrame, parts: list[str], check, schem
     return out
 
 
-def similar_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (did, th, sid, size), which names the n-gram set of every row, and (a, b, jaccard), the pairs of
-    distinct sets with a similarity of at least `threshold`. A set is named by a 64-bit hash of its elements.
+#: Elements (columns) of a block that are multiplied at a time.
+COLUMNS = 4096
+
+
+def common_elements(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b; elements that only one side has cost nothing."""
+    sets = [*a, *b]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    element = np.concatenate(sets) if len(owner) else np.zeros(0, U64)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    left = np.append(0, np.cumsum(owner < len(a)))
+    first = np.flatnonzero(starts_of_runs(element))
+    end = np.append(first[1:], len(element))
+    both = (left[end] > left[first]) & (left[end] - left[first] < end - first)
+    first, end = first[both], end[both]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(first), COLUMNS):
+        f, e = first[k : k + COLUMNS], end[k : k + COLUMNS]
+        column = np.repeat(np.arange(len(f)), e - f)
+        own = owner[np.arange(len(column)) + np.repeat(f - (np.cumsum(e - f) - (e - f)), e - f)]
+        x, y = np.zeros((len(a), len(f)), np.float32), np.zeros((len(b), len(f)), np.float32)
+        is_a = own < len(a)
+        x[own[is_a], column[is_a]] = 1
+        y[own[~is_a] - len(a), column[~is_a]] = 1
+        total += x @ y.T
+    return total.astype(np.int64)
+
+
+def _within_classes(threshold: float):
+    """Rows (i, j, members: [(sid, w, side, elements)]) of a block of a class to (sid, root, n): a similar set of the
+    block that stands for those connected within it, and the weight of all similar ones. In a block with i = j all
+    members meet, else those of side 0 meet those of side 1."""
 
-    Candidates share a signature; sizes and sketches, a few bits an element, rule out nearly all false ones, and
-    only the sets of what is left are compared element by element. Both checks are exact.
+    def run(it):
+        for batch in it:
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                m = members.values
+                sid, w, side = (m.field(k).to_numpy() for k in (0, 1, 2))
+                sets = [np.frombuffer(x.as_buffer(), U64) for x in m.field(3)]
+                size = np.array([len(x) for x in sets])
+                p = np.flatnonzero(side == 0)
+                q = p if i == j else np.flatnonzero(side == 1)
+                if not len(p) or not len(q):
+                    continue
+                common = common_elements([sets[k] for k in p], [sets[k] for k in q])
+                similar = common >= (threshold - 1e-12) * (size[p][:, None] + size[q][None, :] - common)
+                if i == j:
+                    np.fill_diagonal(similar, False)
+                count = np.zeros(len(sid), np.int64)
+                count[p] += similar @ w[q]
+                if i != j:
+                    count[q] += similar.T @ w[p]
+                root = np.arange(len(sid))
+                while True:  # the least member is passed on along similar pairs
+                    new = root.copy()
+                    new[p] = np.minimum(new[p], np.where(similar, new[q][None, :], len(sid)).min(1))
+                    new[q] = np.minimum(new[q], np.where(similar, new[p][:, None], len(sid)).min(0))
+                    if (new == root).all():
+                        break
+                    root = new
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(sid[root]), pa.array(count)], ["sid", "root", "n"])
+
+    return run
+
+
+class Similar:
+    """The n-gram sets of docs and which are similar, exactly, as tables.
+
+    `rows` (id, did, th, sid, size): the set of every row, named by a 64-bit hash of its elements. `sets` (sid, size,
+    w): every distinct set that isn't empty, held by w rows. `blocks` (sid, root, n): sets of a class, each once for every
+    block that it meets, with the weight n of similar ones there. `pairs` (a, b, jaccard): similar sets of unlike classes.
+
+    Sets whose minhash bands and sketches agree form classes. Within a class all sets meet, block by block, and no pair
+    leaves its task. Sets of unlike classes are candidates when they share SHARED signatures, which all similar ones do;
+    sizes and sketches, a few bits an element, rule out nearly all false candidates. All three checks are exact.
     """
-    spark = docs.sparkSession
-    text = F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")
-    keyed = docs.select(*key_columns(id_col, text_col), text)
-    rows, _ = materialize(keyed.mapInArrow(_sets(n), "did long, th long, sid long, size long, sketch binary, counts binary"), "sets")
-    rarity = _rarity(rows)
-    rows = rows.where("counts is null").drop("counts")
-    sigs = keyed.select("text").mapInArrow(_signature_rows(n, threshold, rarity), "sig long, sid long")
-    found = sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_pairs_of_runs, "a long, b long, c int")
-    often = found.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
-    candidates, path = materialize(often, "candidates")
-    known = rows.groupBy("sid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    left = _meet(candidates, known, ["size", "sketch"], _far_apart(threshold), "a long, b long", "near")
-    drop_path(spark, path)
-    wanted = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid"))).distinct()
-    stands = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
-    stands, stands_path = materialize(stands.distinct(), "stands")
-    elements = keyed.join(maybe_broadcast(stands, 32), ["did", "th"], "left_semi").select("text").mapInArrow(_element_rows(n), "sid long, elements binary")
-    elements = elements.groupBy("sid").agg(F.first("elements").alias("elements"))
-    checked = _meet(left, elements, ["elements"], _verify(threshold), "a long, b long, jaccard double", "similar")
-    drop_path(spark, stands_path)
-    return rows.drop("sketch"), checked
-
-
-def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, threshold: float = 0.8) -> DataFrame:
-    """All pairs of documents whose n-gram sets have a Jaccard similarity of at least `threshold`.
-
-    Result: (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once; jaccard rounded to 6 places. Texts are put in
-    lower case and cut into words of letters and digits; fewer than n words make one n-gram. The join is exact: no
-    cap on partners or candidates. Null, empty and wordless texts pair with nothing; rows with a null id are left
-    out, as a pair could not name them; of rows with one id each text counts, and a document isn't paired with
-    itself. Long texts count whole; empty tables give no pairs.
-
-    Documents with equal sets are joined only once, as one set, and expanded at the end.
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float):
+        spark = docs.sparkSession
+        text = F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")
+        keyed = docs.select(F.col(f"`{id_col}`").alias("id"), *key_columns(id_col, text_col, docs), text)
+        id_type = docs.schema[id_col].dataType.simpleString()
+        rows, _ = materialize(
+            keyed.mapInArrow(_sets(n), f"id {id_type}, did long, th long, sid long, size long, sketch binary, bands array<long>, counts binary"), "sets")
+        rarity = _rarity(rows)
+        rows = rows.where("counts is null").drop("counts")
+        known = rows.where("size > 0").groupBy("sid").agg(
+            F.first("size").alias("size"), F.count("*").alias("w"), F.min(F.struct("did", "th")).alias("k"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        known, _ = materialize(known, "known")
+        self.rows, self.sets = rows.drop("sketch", "bands"), known.select("sid", "size", "w")
+        # classes
+        banded = known.select("sid", F.explode("bands").alias("band"))
+        first = banded.groupBy("band").agg(F.min("sid").alias("a"), F.count("*").alias("c")).where("c > 1")
+        stars, stars_path = materialize(banded.join(first, "band").where("a != sid").select("a", F.col("sid").alias("b")).distinct(), "stars")
+        sketched = known.select("sid", "size", "sketch")
+        edges = _meet(stars, sketched, ["size", "sketch"], _far_apart(threshold), "a long, b long", "edges")
+        drop_path(spark, stars_path)
+        classes, _ = materialize(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cls")), "classes")
+        # candidates of unlike classes
+        classed = rows.join(classes, "sid").select("did", "th", "cls").distinct()
+        classed, classed_path = materialize(classed, "classed")
+        told = keyed.join(maybe_broadcast(classed, 40), ["did", "th"], "left").select("text", F.coalesce("cls", F.lit(0)).alias("cls"))
+        sigs = told.mapInArrow(_signature_rows(n, threshold, rarity), "sig long, sid long, cls long")
+        found = sigs.repartition("sig").sortWithinPartitions("sig", "cls", "sid").mapInArrow(_pairs_of_runs, "a long, b long, c int")
+        often = found.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
+        candidates, path = materialize(often, "candidates")
+        drop_path(spark, classed_path)
+        across = _meet(candidates, sketched, ["size", "sketch"], _far_apart(threshold), "a long, b long", "near")
+        drop_path(spark, path)
+        # the sets themselves, of all that may be similar to another
+        wanted = across.select(F.col("a").alias("sid")).unionByName(across.select(F.col("b").alias("sid"))).unionByName(classes.select("sid")).distinct()
+        stands, stands_path = materialize(known.join(wanted, "sid").select("k.did", "k.th").distinct(), "stands")
+        elements = keyed.join(maybe_broadcast(stands, 32), ["did", "th"], "left_semi").select("text").mapInArrow(_element_rows(n), "sid long, elements binary")
+        elements, elements_path = materialize(elements.groupBy("sid").agg(F.first("elements").alias("elements")), "elements")
+        drop_path(spark, stands_path)
+        self.pairs = _meet(across, elements, ["elements"], _verify(threshold), "a long, b long, jaccard double", "similar")
+        self.blocks, _ = materialize(self._blocks(classes, elements, threshold), "blocks")
+        drop_path(spark, elements_path)
+
+    def _blocks(self, classes: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+        crowd = classes.groupBy("cls").agg(F.count("*").alias("c"))
+        k = F.ceil(F.col("c") / BLOCK)
+        placed = classes.join(crowd, "cls").join(self.sets.select("sid", "w"), "sid").select("cls", "sid", "w", k.alias("k"), F.pmod(F.xxhash64("sid"), k).alias("own"))
+        # block (i, j), i <= j, of every set: as side 0 where its own number is i, as side 1 where it is j only
+        sides = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")).select(
+            "cls", "sid", "w", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        gathered = sides.join(elements, "sid").groupBy("cls", "i", "j").agg(F.collect_list(F.struct("sid", "w", "side", "elements")).alias("members"))
+        return gathered.select("i", "j", "members").mapInArrow(_within_classes(threshold), "sid long, root long, n long")
+
+    def edges(self) -> DataFrame:
+        """(a, b): pairs of similar sets that connect the same sets as all such pairs."""
+        return self.pairs.select("a", "b").unionByName(self.blocks.where("root != sid").select(F.col("root").alias("a"), F.col("sid").alias("b")))
+
+    def links(self) -> DataFrame:
+        """(sid, n): how many rows hold a similar set, another one than their own."""
+        weight = self.sets.select("sid", "w")
+        across = self.pairs.select(F.col("a").alias("to"), F.col("b").alias("sid")).unionByName(self.pairs.select(F.col("b").alias("to"), F.col("a").alias("sid")))
+        across = across.join(weight, "sid").select(F.col("to").alias("sid"), F.col("w").alias("n"))
+        return across.unionByName(self.blocks.select("sid", "n")).groupBy("sid").agg(F.sum("n").alias("n"))
+
+
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, threshold: float = 0.8) -> DataFrame:
+    """Which documents are near duplicates, by the Jaccard similarity of their n-gram sets.
+
+    Result: (doc_id, class_id, links), one row for every row of docs. `links` is the number of other rows whose similarity
+    is at least `threshold`; rows with equal sets, copies among them, count one by one. A class is what links connect;
+    `class_id` is its least id (null only if all its ids are). Texts are put in lower case and cut into words of letters
+    and digits; fewer than n words make one n-gram. The join is exact: no cap on partners or candidates, and no link
+    between different texts is lost.
+
+    Null, empty and wordless texts have no link and are a class of their own. Repeated rows link with each other. A
+    null id stays null; ids may be of any type that has an order. Long texts count whole; an empty table gives no rows.
     """
-    rows, similar = similar_sets(docs, id_col, text_col, n, threshold)
-    named = rows.where((F.col("did") != F.lit(-(1 << 63))) & (F.col("size") > 0)).select("sid", "did").distinct()
-    left, right = named.select(F.col("sid").alias("a"), F.col("did").alias("x")), named.select(F.col("sid").alias("b"), F.col("did").alias("y"))
-    equal = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    near = similar.join(left, "a").join(right, "b").where("x != y").select("x", "y", "jaccard")
-    both = equal.unionByName(near).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return both.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    found = Similar(docs, id_col, text_col, n, threshold)
+    roots = components(found.edges())
+    # one row a set from here on; rows are joined with it at the end
+    least = found.rows.where("size > 0").groupBy("sid").agg(F.min("id").alias("least"))
+    sets = found.sets.join(least, "sid").join(found.links(), "sid", "left").join(roots, F.col("sid") == F.col("node"), "left")
+    sets = sets.select("sid", "least", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("root", "sid").alias("root"))
+    sets, _ = materialize(sets, "set_classes")
+    classes = sets.groupBy("root").agg(F.min("least").alias("class_id"))
+    sets = sets.join(classes, "root").select("sid", "class_id", "links")
+    worded = found.rows.where("size > 0").join(sets, "sid").select(F.col("id").alias("doc_id"), "class_id", "links")
+    return worded.unionByName(found.rows.where("size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
+#: Up to so many edges (16 bytes each) the driver finds the components; beyond, rounds of jobs do.
+DRIVER_EDGES = 1 << 18
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node that it is connected with.
 
-    Alternates large-star and small-star rounds, each written to the shared folder, until nothing changes; the
-    number of rounds follows the logarithm of the longest path.
+    Edges are counted first. A few are connected on the driver; more alternate large-star and small-star rounds, each
+    written to the shared folder, until nothing changes; the number of rounds follows the logarithm of the longest path.
     """
     spark = edges.sparkSession
 
@@ -398,6 +550,10 @@ def components(edges: DataFrame) -> DataFrame:
         return e, path, tuple(mark)
 
     e, path, mark = settled(edges.select("a", "b"))
+    if mark[0] <= DRIVER_EDGES:
+        found = spark.createDataFrame(_least_connected(e.toArrow()), "node long, root long")
+        drop_path(spark, path)
+        return found
     while True:
         large, large_path, _ = settled(star(e, True))
         new, new_path, new_mark = settled(star(large, False))
@@ -410,29 +566,54 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _least_connected(edges: pa.Table) -> pa.Table:
+    a, b = edges.column("a").to_numpy(), edges.column("b").to_numpy()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, root[side], low)
+        new = new[new]
+        if (new == root).all():
+            return pa.table({"node": nodes, "root": nodes[root]})
+        root = new
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near duplicates: the one of least id (null first), then text hash.
+    """docs with one document of each class of duplicate_classes: the one of least id (null first), then text hash.
 
-    A group is a connected component of jaccard_pairs' relation, equal sets included. Rows equal in id and text
-    are one document, of which one row stays. Null, empty and wordless texts belong to no group and stay. Columns
-    pass through whatever their names.
+    Ids that aren't integers are ordered by their hashes. Rows equal in id and text are one document, of which the row
+    with the least hash of all columns (but maps) stays. Null, empty and wordless texts are in no class and all
+    stay. Columns pass through whatever their names.
 
-    Groups are found on (set, set) edges and never list their members' pairs; texts meet only a list of ids.
+    Texts meet only a list of what goes.
     """
-    rows, similar = similar_sets(docs, id_col, text_col, n, threshold)
-    roots = components(similar.select("a", "b"))
-    grouped = rows.where("size > 0").join(roots, rows.sid == roots.node, "left").select("did", "th", F.coalesce("root", "sid").alias("root"))
-    first = grouped.groupBy("root").agg(F.min(F.struct("did", "th")).alias("k"), F.count("*").alias("c")).where("c > 1").drop("c")
-    gone = grouped.join(first, "root").where("k.did != did or k.th != th").select(F.col("did").alias("g_did"), F.col("th").alias("g_th")).distinct()
+    found = Similar(docs, id_col, text_col, n, threshold)
+    roots = components(found.edges())
+    worded = found.rows.where("size > 0")
+    sets = worded.groupBy("sid").agg(F.min(F.struct("did", "th")).alias("k")).join(roots, F.col("sid") == F.col("node"), "left").select("sid", "k", F.coalesce("root", "sid").alias("root"))
+    sets, _ = materialize(sets, "set_roots")
+    first = sets.groupBy("root").agg(F.min("k").alias("first"))
+    stays, _ = materialize(sets.join(first, "root").select("sid", "first"), "firsts")
+    counted = worded.groupBy("sid", "did", "th").agg(F.count("*").alias("c")).join(stays, "sid")
+    gone = counted.where("first.did != did or first.th != th").select(F.col("did").alias("g_did"), F.col("th").alias("g_th")).distinct()
     gone, _ = materialize(gone, "gone")
-    again, _ = materialize(rows.groupBy("did", "th").agg(F.count("*").alias("c")).where("c > 1").select(F.col("did").alias("g_did"), F.col("th").alias("g_th")), "again")
-    did, th = key_columns(id_col, text_col)
+    again, _ = materialize(counted.where("first.did = did and first.th = th and c > 1").select(F.col("did").alias("g_did"), F.col("th").alias("g_th")), "again")
+    did, th = key_columns(id_col, text_col, docs)
     on = (did == F.col("g_did")) & (th == F.col("g_th"))
     kept = docs.join(maybe_broadcast(gone, 32), on, "left_anti")
     if again.isEmpty():
         return kept
     repeated = maybe_broadcast(again, 32)
-    once = kept.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col])
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(repeated, on, "left_semi").groupBy(did.alias("did"), th.alias("th")).agg(F.min_by(whole, F.xxhash64(*hashed)).alias("r")).select("r.*")
     return kept.join(repeated, on, "left_anti").unionByName(once)
 
 
+def _has_map(kind) -> bool:
+    return "map<" in kind.simpleString()

@@ -191,7 +191,7 @@ def dedup_lines(
     to broadcast.
     """
     spark = docs.sparkSession
-    keyed = docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    keyed = docs.select(*key_columns(id_col, text_col, docs), F.col(f"`{text_col}`").cast("string").alias("text"))
     prints, prints_path = materialize(
         keyed.mapInArrow(_fingerprint_rows(long_line, cut, gram, window), "fp long, did long, th long, pos int"), "fingerprints")
     first = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos")).alias("f")).where("n > 1").drop("n")
@@ -222,7 +222,7 @@ def dedup_lines(
     typed = docs.toDF(*inner).withColumn("text", F.col("text").cast("string"))
     id_inner = inner[names.index(id_col)]
     joined = typed.join(
-        found.hint("shuffle_hash"), (key_columns(id_inner, "text")[0] == F.col("m_did")) & (key_columns(id_inner, "text")[1] == F.col("m_th")), "left")
+        found.hint("shuffle_hash"), (key_columns(id_inner, "text", typed)[0] == F.col("m_did")) & (key_columns(id_inner, "text", typed)[1] == F.col("m_th")), "left")
     schema = typed.schema
     out = joined.select(*inner, "matches").mapInArrow(_rewrite(long_line, cut, gram, reach, min_words), schema)
     if length_col in names:

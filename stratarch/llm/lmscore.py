@@ -374,7 +374,7 @@ def cross_parse_scores(
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
-    did, th = key_columns(id_col, text_col)
+    did, th = key_columns(id_col, text_col, docs)
     words = F.regexp_count(text, F.lit(r"\S+")).cast("long")
     marks = labels.groupBy(F.col(id_col).cast("long").alias("m")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good, _ = materialize(marks.where("m is not null and q > 0 and t = 0").select(F.col("m").alias("did")), "good")

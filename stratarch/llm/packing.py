@@ -142,7 +142,7 @@ def pack_windows(
     no rows; repeated rows are packed as often as they stand; a null id stays null; an empty table gives no rows.
     """
     length = word_count(text_col) if length is None else length
-    base = docs.select(*key_columns(id_col, text_col), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).where("n > 0")
+    base = docs.select(*key_columns(id_col, text_col, docs), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).where("n > 0")
     sizes, _ = materialize(base, "lengths")
     parts = max(1, -(-sizes.count() // docs_per_part))
     rows = sizes.select(F.pmod(F.xxhash64("did", "th"), F.lit(parts)).alias("part"), "did", "th", "n")

@@ -153,7 +153,7 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
             flat = pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["did", "th", "f"])
 
-    keyed = docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    keyed = docs.select(*key_columns(id_col, text_col, docs), F.col(f"`{text_col}`").cast("string").alias("text"))
     return materialize(keyed.mapInArrow(compute, "did long, th long, f array<double>"), "features")
 
 

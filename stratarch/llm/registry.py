@@ -25,7 +25,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,15 @@ _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 ORACLE_SQL = {
     "op8_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "op5_ngram_jaccard_join": f"""
-WITH words AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS w FROM documents),
 sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
-common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c
-           FROM words a JOIN words b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard
-FROM common JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 - 1e-12""",
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM words a JOIN words b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 - 1e-12),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0) AS links
+FROM documents JOIN classes c ON c.a = doc_id LEFT JOIN counts n ON n.a = doc_id""",
 }

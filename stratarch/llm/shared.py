@@ -6,10 +6,12 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A join side is broadcast only when its measured size is below this; otherwise the join shuffles.
 BROADCAST_BYTES = 24 << 20
@@ -45,9 +47,16 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of finished jobs; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the cleaner drop shuffle files of finished jobs; else they stay until the driver happens to collect garbage.
+    Jobs that follow one another within RELEASE_SECONDS are released together."""
+    if time.monotonic() - release.last >= RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        release.last = time.monotonic()
+
+
+RELEASE_SECONDS = 2
+release.last = 0.0
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -70,22 +79,24 @@ def maybe_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only what the operators need of a document: (did, th, text).
+def key_columns(id_col: str, text_col: str, df: DataFrame):
+    """(did, th) name a document: rows that agree in both are one.
 
-    `did` is the id, or NULL_ID for a null one; `th` is a hash of the text. Rows that agree in both are one
-    document. No other input column is read, so extra columns cannot clash.
+    `did` is the id if its type is an integer, else a 64-bit hash of it, and NULL_ID for a null one (so the integer -2^63
+    can't be told from null); `th` is a hash of the text. No other column is read, so extra ones cannot clash.
     """
-    return df.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-
-def key_columns(id_col: str, text_col: str):
     return (
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("did"),
+        F.coalesce(key_of(id_col, df), F.lit(NULL_ID)).alias("did"),
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("th"),
     )
 
 
+def key_of(id_col: str, df: DataFrame):
+    """An id as an integer; null for null."""
+    col, kind = F.col(f"`{id_col}`"), df.schema[id_col].dataType
+    return col.cast("long") if isinstance(kind, IntegralType) else F.when(col.isNotNull(), F.xxhash64(col.cast("string")))
+
+
 def original_id(col="did"):
     """Turns NULL_ID back to null."""
     return F.when(F.col(col) != NULL_ID, F.col(col))

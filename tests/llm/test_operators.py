@@ -316,8 +316,69 @@ def test_jaccard_against_all_pairs(spark, n, threshold):
             copy = [w if rng.random() > rng.choice([0, 0.03, 0.1, 0.2]) else rng.choice(WORDS) for w in base]
             data.append((len(data), " ".join(copy)))
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = rows(jaccard.jaccard_pairs(df, n=n, threshold=threshold), "doc_a", "doc_b", "jaccard")
-    assert sorted(got) == brute_jaccard(data, n, threshold)
+    got = rows(jaccard.duplicate_classes(df, n=n, threshold=threshold), "doc_id", "class_id", "links")
+    assert sorted(got) == brute_classes(data, n, threshold)
+
+
+def brute_classes(data, n, threshold):
+    pairs = [(a, b) for a, b, _ in brute_jaccard(data, n, threshold)]
+    root, links = {r[0]: r[0] for r in data}, Counter(x for p in pairs for x in p)
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    return sorted((k, v, links[k]) for k, v in root.items())
+
+
+def test_jaccard_classes_in_blocks(spark, monkeypatch):
+    """A class of several blocks, long sets with many words each, and copies that count one by one."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(3000)]
+    data = []
+    for k in range(40):
+        copy = [w if rng.random() > rng.choice([0.02, 0.06, 0.12]) else f"x{rng.randint(0, 10**6)}" for w in base]
+        data += [(2 * k, " ".join(copy)), *([(2 * k + 1, " ".join(copy))] if k % 9 == 0 else [])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(jaccard.duplicate_classes(df), "doc_id", "class_id", "links") == sorted(brute_classes(data, 1, 0.8), key=repr)
+
+
+def test_components_on_the_driver_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(14)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(k, k + 1) for k in range(400, 460)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in [e for e in edges if e[0] != e[1]]:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(jaccard, "DRIVER_EDGES", most)
+        assert {r.node: r.root for r in jaccard.components(df).collect()} == root
+
+
+def test_jaccard_group_of_20000_near_copies(spark):
+    """Every pair of the group is a link: 20,000 sets that differ in one word."""
+    words = " ".join(f"w{k}" for k in range(60))
+    df = spark.range(20_000).selectExpr("id as doc_id", f"concat('{words} x', id) as text")
+    got = jaccard.duplicate_classes(df).groupBy("class_id", "links").count().collect()
+    assert [tuple(r) for r in got] == [(0, 19_999, 20_000)]
+
+
+def test_jaccard_ids_of_any_type(spark):
+    data = [("b", "one two three"), ("a", "three two one"), ("c", "other words here"), (None, "one two three"), ("d", "")]
+    df = spark.createDataFrame(data, "`the id.` string, text string")
+    got = rows(jaccard.duplicate_classes(df, "the id."), "doc_id", "class_id", "links")
+    assert got == sorted([("a", "a", 2), ("b", "a", 2), (None, "a", 2), ("c", "c", 0), ("d", "d", 0)], key=repr)
+    kept = [r[0] for r in jaccard.drop_near_duplicates(df, "the id.").collect()]
+    assert sorted(kept, key=str) == [None, "c", "d"]
+
+
+def test_near_duplicates_keep_wordless_rows_and_a_settled_one_of_repeated_rows(spark):
+    data = [(1, "", "x"), (1, "", "y"), (None, None, "x"), (None, None, "x"), (2, "!!", "x"), (3, "a b c", "p"), (3, "a b c", "q"), (4, "c b a", "r")]
+    kept = {tuple(r) for k in (1, 3) for r in jaccard.drop_near_duplicates(spark.createDataFrame(data[::k - 2], "doc_id long, text string, v string")).collect()}
+    once = jaccard.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, v string")).collect()
+    assert len(once) == 6 and kept == {tuple(r) for r in once} and sum(r.doc_id == 3 for r in once) == 1
 
 
 def test_sketches_never_exceed_the_difference():
@@ -346,13 +407,15 @@ def test_near_duplicates_leave_one_of_each_group(spark, docs, corpus):
 
 
 def test_jaccard_awkward(spark, messy):
-    got = rows(jaccard.jaccard_pairs(messy), "doc_a", "doc_b", "jaccard")
-    assert (2, 103, 1.0) in got and all(a is not None and a < b for a, b, _ in got)
+    got = Counter((r.doc_id, r.class_id, r.links) for r in jaccard.duplicate_classes(messy).collect())
+    # two equal rows of id 103, and a null id with a copy
+    assert got[2, 2, 2] == 1 and got[103, 2, 2] == 2 and got[1, 1, 1] == got[None, 1, 1] == 1
+    assert got[None, None, 0] == got[100, 100, 0] == got[101, 101, 0] == got[102, 102, 0] == 1 and got.total() == messy.count()
     kept = jaccard.drop_near_duplicates(messy)
     assert kept.columns == messy.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[100] == ids[101] == ids[102] == 1 and ids[103] == 1 and ids[2] == 1
-    assert jaccard.jaccard_pairs(empty(spark)).count() == 0 and jaccard.drop_near_duplicates(empty(spark)).count() == 0
+    assert jaccard.duplicate_classes(empty(spark)).count() == 0 and jaccard.drop_near_duplicates(empty(spark)).count() == 0
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
