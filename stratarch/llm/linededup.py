@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_path, key_columns, materialize, maybe_broadcast
-from .textbatch import SPACE, U64, TextBatch, batches, int64, lut, mix, ranks, starts_of_runs
+from .textbatch import SPACE, U64, TextBatch, _powers, batches, int64, lut, mix, ranks, starts_of_runs
 
 _NEWLINE = lut("\n\r")
 
@@ -21,6 +21,10 @@ class Lines:
     def __init__(self, t: TextBatch, long_line: int, cut: int):
         starts, ends = t.spans(~SPACE[t.buf])
         doc = t.doc_of(starts)
+        if cut == 1 and long_line == 0:  # every word is a piece
+            self.start, self.end, self.doc, self.rank = starts, ends, doc, ranks(doc)
+            self.words, self.hash = np.ones(len(starts), np.int64), t.hashes(starts, ends)
+            return
         breaks = np.zeros(len(t.buf) + 1, np.int64)
         np.cumsum(_NEWLINE[t.buf], out=breaks[1:])
         new = starts_of_runs(breaks[starts]) | starts_of_runs(doc) if len(starts) else np.zeros(0, bool)
@@ -80,22 +84,18 @@ def fingerprints(lines: Lines, gram: int, window: int) -> tuple[np.ndarray, np.n
     return at[chosen], h[chosen]
 
 
-def covered(own: np.ndarray, other: np.ndarray, pairs: np.ndarray, gram: int, reach: int, mark: np.ndarray) -> None:
-    """Mark the lines of `own` that match `other` around each pair of positions, up to `reach` lines either way."""
-    p, q = pairs[:, 0], pairs[:, 1]
-    for j in range(gram):
-        mark[p + j] = True
-    for step, p0, q0 in ((1, p + gram, q + gram), (-1, p - 1, q - 1)):
-        a, b = p0.copy(), q0.copy()
-        for _ in range(reach):
-            ok = (a >= 0) & (a < len(own)) & (b >= 0) & (b < len(other))
-            a, b = a[ok], b[ok]
-            same = own[a] == other[b]
-            a, b = a[same], b[same]
-            if not len(a):
-                break
-            mark[a] = True
-            a, b = a + step, b + step
+def spans(lines: Lines, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, gap): of all that stands from a fingerprint's first line to the last one of the text's next fingerprint,
+    and how many lines the one starts before the other; 0 for a text's last fingerprint."""
+    gap = np.zeros(len(at), np.int64)
+    if len(at) < 2:
+        return np.zeros(len(at), np.int32), gap
+    gap[:-1] = np.where(lines.doc[at[1:]] == lines.doc[at[:-1]], np.diff(at), 0)
+    p, q = _powers(len(lines.hash) + 1)
+    sums = np.zeros(len(lines.hash) + 1, U64)
+    np.cumsum(lines.hash * p[: len(lines.hash)], out=sums[1:])
+    h = mix((sums[at + gap + gram] - sums[at]) * q[at] + gap.astype(U64))
+    return np.where(gap > 0, (h >> U64(32)).astype(np.uint32).view(np.int32), 0), gap
 
 
 def _fingerprint_rows(long_line, cut, gram, window):
@@ -103,9 +103,11 @@ def _fingerprint_rows(long_line, cut, gram, window):
         for part in batches(it):
             lines = Lines(TextBatch(part["text"]), long_line, cut)
             at, fp = fingerprints(lines, gram, window)
-            doc = lines.doc[at]
+            span, gap = spans(lines, at, gram)
+            doc = pa.array(lines.doc[at])
             yield pa.RecordBatch.from_arrays(
-                [int64(fp), part["did"].take(pa.array(doc)), part["th"].take(pa.array(doc)), pa.array(lines.rank[at].astype(np.int32))], ["fp", "did", "th", "pos"])
+                [int64(fp), pa.array(span), part["did"].take(doc), part["th"].take(doc), pa.array(lines.rank[at].astype(np.int32)), pa.array(gap.astype(np.int32))],
+                ["fp", "span", "did", "th", "pos", "gap"])
 
     return run
 
@@ -124,30 +126,90 @@ def _line_rows(long_line, cut):
     return run
 
 
-def _rewrite(long_line, cut, gram, reach, min_words):
-    def text_of(t: TextBatch, lines: Lines, lo: int, hi: int, row: int, matches) -> str | None:
-        """Text `row`, whose lines are lo..hi, without its repeated runs."""
-        own = lines.hash[lo:hi].astype(np.uint32)
-        mark = np.zeros(hi - lo, bool)
-        for m in matches:
-            pairs = np.frombuffer(m["pairs"], ">i4").reshape(-1, 2).astype(np.int64)
-            if m["lines"] is None:
-                covered(own, own, pairs, gram, reach, mark)
+def _runs(gram: int):
+    """Matches sorted by (did, th, pos) to runs: a matched span leads from its fingerprint to the next one. A run has the
+    place where its first line stands earlier, and one behind which its end stands. The last run of a batch waits."""
+
+    def joined(c: list[np.ndarray]):
+        did, th, pos, gap = c[:4]
+        linked = np.zeros(len(did), bool)  # to the row before
+        linked[1:] = (did[1:] == did[:-1]) & (th[1:] == th[:-1]) & (gap[:-1] > 0) & (pos[:-1] + gap[:-1] == pos[1:])
+        return linked
+
+    def rows(c, linked):
+        did, th, pos, gap, a_did, a_th, a_pos = c
+        first = np.flatnonzero(~linked)
+        last = np.append(first[1:], len(did)) - 1
+        by = np.where(last > first, last - 1, last)  # whose place leads to the end
+        step = np.where(last > first, gap[by], 0)
+        out = [did[first], th[first], pos[first], pos[last] + gram, a_did[first], a_th[first], a_pos[first], a_did[by], a_th[by], a_pos[by] + step + gram]
+        for k in range(0, len(first), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].astype(np.int64)) for x in out], _RUN)
+
+    def run(it):
+        left = [np.zeros(0, np.int64)] * 7
+        for batch in it:
+            c = [np.concatenate([old, batch.column(k).to_numpy().astype(np.int64)]) for k, old in enumerate(left)]
+            if not len(c[0]):
+                continue
+            linked = joined(c)
+            cut = int(np.flatnonzero(~linked)[-1])
+            left = [x[cut:] for x in c]
+            if cut:
+                yield from rows([x[:cut] for x in c], linked[:cut])
+        if len(left[0]):
+            yield from rows(left, joined(left))
+
+    return run
+
+
+_RUN = ["did", "th", "lo", "hi", "a_did", "a_th", "a_pos", "b_did", "b_th", "b_pos"]
+
+
+def extension(own: np.ndarray, at: np.ndarray, room: np.ndarray, piece: pa.Array, step: int) -> np.ndarray:
+    """How many lines of `own` from each place on, backwards for step -1, equal those of its piece, read from its near
+    end; `room` is how many the text has there."""
+    offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64) // 4
+    data = piece.buffers()[2]
+    other = np.frombuffer(data, np.uint32) if data is not None and data.size else np.zeros(0, np.uint32)
+    begin, end = offsets[:-1], offsets[1:]
+    near = begin if step > 0 else end - 1
+    room = np.minimum(room, end - begin)
+    n, live, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while len(live):
+        live = live[room[live] > k]
+        live = live[own[at[live] + step * k] == other[near[live] + step * k]]
+        k += 1
+        n[live] = k
+    return n
+
+
+def _rewrite(long_line, cut, min_words):
+    def cuts(lines: Lines, borders: np.ndarray, owner: np.ndarray, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """First lines and ends of the repeated runs of at least min_words words."""
+        lo, hi, side = (found.field(k).to_numpy().astype(np.int64) for k in range(3))
+        own = lines.hash.astype(np.uint32)
+        lo, hi = borders[owner] + lo, borders[owner] + hi
+        for s, step in ((0, -1), (1, 1)):
+            some = np.flatnonzero(side == s)
+            piece = found.field(3).take(pa.array(some))
+            if s:
+                hi[some] += extension(own, hi[some], borders[owner[some] + 1] - hi[some], piece, step)
             else:
-                pairs[:, 1] -= m["shift"]
-                covered(own, np.frombuffer(m["lines"], np.uint32), pairs, gram, reach, mark)
-        a, b = int(t.offsets[row]), int(t.offsets[row + 1])
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
-        out, at = [], a
-        words = np.append(0, np.cumsum(lines.words[lo:hi]))
-        for first, end in zip(edges[::2], edges[1::2]):
-            if words[end] - words[first] >= min_words:
-                out.append(t.buf[at : lines.start[lo + first]].tobytes())
-                at = int(lines.start[lo + end]) if lo + end < hi else b
-        if not out:
-            return None
-        out.append(t.buf[at:b].tobytes())
-        return b"".join(out).decode().rstrip()
+                lo[some] -= extension(own, lo[some] - 1, lo[some] - borders[owner[some]], piece, step)
+        edge = np.zeros(len(own) + 1, np.int64)
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi, -1)
+        mark = np.cumsum(edge[:-1]) > 0
+        inner = mark.copy()  # continues the run of the line before
+        inner[1:] &= mark[:-1]
+        inner[0] = False
+        inner[borders[:-1][borders[:-1] < len(mark)]] = False
+        first = np.flatnonzero(mark & ~inner)
+        end = np.flatnonzero(mark & ~np.append(inner[1:], False)) + 1
+        words = np.append(0, np.cumsum(lines.words))
+        long = words[end] - words[first] >= min_words
+        return first[long], end[long]
 
     def run(it):
         for part in batches(it):
@@ -157,12 +219,23 @@ def _rewrite(long_line, cut, gram, reach, min_words):
                 t = TextBatch(part["text"].take(pa.array(hit)))
                 lines = Lines(t, long_line, cut)
                 borders = np.searchsorted(lines.doc, np.arange(t.n + 1))
-                new = [text_of(t, lines, borders[k], borders[k + 1], k, found[int(i)].as_py()) for k, i in enumerate(hit)]
-                mask = np.zeros(len(found), bool)
-                mask[hit] = True
-                old = part["text"].take(pa.array(hit)).to_pylist()
-                replaced = pa.array([o if x is None else x for x, o in zip(new, old)], part["text"].type)
-                part["text"] = pc.replace_with_mask(part["text"], pa.array(mask), replaced)
+                lists = found.take(pa.array(hit))
+                owner = np.repeat(np.arange(t.n), np.diff(lists.offsets.to_numpy()))
+                first, end = cuts(lines, borders, owner, lists.flatten())
+                row = lines.doc[first]
+                new, at = [], np.flatnonzero(starts_of_runs(row))
+                for i, j in zip(at, np.append(at[1:], len(row))):
+                    begin, stop = int(t.offsets[row[i]]), int(t.offsets[row[i] + 1])
+                    out = []
+                    for a, b in zip(first[i:j], end[i:j]):
+                        out.append(t.buf[begin : lines.start[a]].tobytes())
+                        begin = int(lines.start[b]) if b < borders[row[i] + 1] else stop
+                    out.append(t.buf[begin:stop].tobytes())
+                    new.append(b"".join(out).decode(errors="replace").rstrip())
+                if new:
+                    mask = np.zeros(len(found), bool)
+                    mask[np.asarray(hit)[row[at]]] = True
+                    part["text"] = pc.replace_with_mask(part["text"], pa.array(mask), pa.array(new, part["text"].type))
             del part["matches"]
             yield pa.RecordBatch.from_arrays(list(part.values()), list(part.keys()))
 
@@ -176,57 +249,61 @@ def dedup_lines(
     """docs with later copies of repeated passages deleted; same rows and columns, `length_col` brought up to date.
 
     Texts are sequences of pieces (see Lines), here single words, so a passage falls into the same pieces wherever it
-    stands. Winnowing picks fingerprints of `gram` pieces, at least one in any gram + window - 1 = 25 repeated words;
-    of each fingerprint the first place (least id, then text hash, then position) stays, and every later place is
-    joined with it and extended word by word both ways. Extension goes twice as far as the next fingerprint can be;
-    what fingerprints and extensions cover forms runs, and a run of at least `min_words` words is deleted, with the
-    white space behind it. Repeats within a text count like those between texts. Extension compares words by 32 bits
-    of their hashes.
+    stands. Winnowing picks fingerprints of `gram` pieces, at least one in any gram + window - 1 = 25 repeated words.
+    Places are ordered by id (hash of the id, if it isn't an integer), text hash and position. A fingerprint that stands
+    earlier is repeated; so is all from one fingerprint to the next if that span stands earlier, at whatever place, so a
+    passage need not have one partner for all its fingerprints. Such runs are extended word by word at both ends along
+    the place where their first or last span stands first (the first place of the fingerprint, if no span matches), by
+    up to gram + window words: within that many, what is repeated would hold another fingerprint. Runs that overlap or
+    touch are one, and a run of at least `min_words` words is deleted, with the white space behind it. Repeats within a
+    text count like those between texts. Spans are compared by 96 bits of hashes, words at the ends by 32 bits.
 
     Null texts stay null, empty ones empty; a text that is all repeats becomes empty, and its row stays. A null
     id comes before all others. Rows equal in id and text are one document and keep equal texts. Other columns
     pass through whatever their names. Long texts are handled whole. An empty table stays empty.
 
-    Fingerprints are a small share of the input; texts are shuffled once, and only if the matches are too large
-    to broadcast.
+    Fingerprints are a small share of the input; texts are shuffled once, to meet what was found in them.
     """
     spark = docs.sparkSession
     keyed = docs.select(*key_columns(id_col, text_col, docs), F.col(f"`{text_col}`").cast("string").alias("text"))
     prints, prints_path = materialize(
-        keyed.mapInArrow(_fingerprint_rows(long_line, cut, gram, window), "fp long, did long, th long, pos int"), "fingerprints")
-    first = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos")).alias("f")).where("n > 1").drop("n")
-    matches = prints.join(first, "fp").where("f.did != did or f.th != th or f.pos != pos").select(
-        "did", "th", F.col("f.did").alias("a_did"), F.col("f.th").alias("a_th"), "pos", F.col("f.pos").alias("a_pos")).distinct()
-    grouped, grouped_path = materialize(
-        matches.groupBy("did", "th", "a_did", "a_th").agg(
-            F.min("a_pos").alias("lo"), F.max("a_pos").alias("hi"),
-            F.array_join(F.sort_array(F.collect_list(F.concat(F.lpad(F.hex("pos"), 8, "0"), F.lpad(F.hex("a_pos"), 8, "0")))), "").alias("pairs")), "matches")
+        keyed.mapInArrow(_fingerprint_rows(long_line, cut, gram, window), "fp long, span int, did long, th long, pos int, gap int"), "fingerprints")
+    place = F.struct("did", "th", "pos")
+    first = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
+    hits, hits_path = materialize(prints.join(first, "fp").select(F.xxhash64("fp", "span").alias("key"), "gap", "did", "th", "pos", "f"), "hits")
     drop_path(spark, prints_path)
-    reach = 2 * (gram + window)
-    same = F.col("did").eqNullSafe(F.col("a_did")) & F.col("th").eqNullSafe(F.col("a_th"))
-    sources, _ = materialize(grouped.where(~same).select(F.col("a_did").alias("did"), F.col("a_th").alias("th")).distinct(), "sources")
-    lines = keyed.join(maybe_broadcast(sources, 32), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
-    lines = lines.mapInArrow(_line_rows(long_line, cut), "did long, th long, lines binary").select(F.col("did").alias("a_did"), F.col("th").alias("a_th"), "lines")
-    shift = F.greatest(F.col("lo") - reach, F.lit(0))
-    piece = F.substring("lines", shift * 4 + 1, (F.col("hi") + gram + reach - shift) * 4)
-    own = grouped.where(same).withColumn("lines", F.lit(None).cast("binary"))
-    other = grouped.where(~same).join(lines, ["a_did", "a_th"]).withColumn("lines", piece)
-    found = own.unionByName(other).groupBy(F.col("did").alias("m_did"), F.col("th").alias("m_th")).agg(
-        F.collect_list(F.struct(F.unhex("pairs").alias("pairs"), shift.alias("shift"), "lines")).alias("matches"))
+    known = hits.where("gap > 0").groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("s")).where("n > 1").drop("n")
+    later = hits.where(F.col("f") != place).join(known, "key", "left").withColumn("known", F.coalesce(F.col("s") != place, F.lit(False)) & (F.col("gap") > 0))
+    earlier = F.when(F.col("known"), F.col("s")).otherwise(F.col("f"))
+    matches = later.select("did", "th", "pos", F.when(F.col("known"), F.col("gap")).otherwise(0).alias("gap"), earlier.alias("e"))
+    matches = matches.select("did", "th", "pos", "gap", F.col("e.did").alias("a_did"), F.col("e.th").alias("a_th"), F.col("e.pos").alias("a_pos")).distinct()
+    runs = matches.repartition("did", "th").sortWithinPartitions("did", "th", "pos").mapInArrow(_runs(gram), ", ".join(f"{c} long" for c in _RUN))
+    runs, runs_path = materialize(runs, "runs")
+    drop_path(spark, hits_path)
+    reach = gram + window
+    ahead = runs.where("lo > 0").select(
+        F.col("a_did").alias("p_did"), F.col("a_th").alias("p_th"), F.greatest(F.col("a_pos") - reach, F.lit(0)).alias("from"), F.col("a_pos").alias("to"), F.lit(0).alias("side"), "did", "th", "lo", "hi")
+    behind = runs.select(
+        F.col("b_did").alias("p_did"), F.col("b_th").alias("p_th"), F.col("b_pos").alias("from"), (F.col("b_pos") + reach).alias("to"), F.lit(1).alias("side"), "did", "th", "lo", "hi")
+    asked = ahead.unionByName(behind)
+    sources, _ = materialize(asked.select(F.col("p_did").alias("did"), F.col("p_th").alias("th")).distinct(), "sources")
+    lines = keyed.join(maybe_broadcast(sources, 32), ["did", "th"], "left_semi").mapInArrow(_line_rows(long_line, cut), "did long, th long, lines binary")
+    lines = lines.dropDuplicates(["did", "th"]).select(F.col("did").alias("p_did"), F.col("th").alias("p_th"), "lines")
+    piece = F.substring("lines", (F.col("from") * 4 + 1).cast("int"), ((F.col("to") - F.col("from")) * 4).cast("int"))
+    answered = asked.join(lines, ["p_did", "p_th"]).select("did", "th", F.struct(F.col("lo").cast("int"), F.col("hi").cast("int"), "side", piece.alias("piece")).alias("m"))
+    found = answered.groupBy(F.col("did").alias("m_did"), F.col("th").alias("m_th")).agg(F.collect_list("m").alias("matches"))
     found, _ = materialize(found, "found")
-    drop_path(spark, grouped_path)
+    drop_path(spark, runs_path)
     names = [f.name for f in docs.schema.fields]
     # positional names inside: input columns may be called anything
     inner = [f"c{k}" for k in range(len(names))]
     inner[names.index(text_col)] = "text"
     typed = docs.toDF(*inner).withColumn("text", F.col("text").cast("string"))
-    id_inner = inner[names.index(id_col)]
-    joined = typed.join(
-        found.hint("shuffle_hash"), (key_columns(id_inner, "text", typed)[0] == F.col("m_did")) & (key_columns(id_inner, "text", typed)[1] == F.col("m_th")), "left")
-    schema = typed.schema
-    out = joined.select(*inner, "matches").mapInArrow(_rewrite(long_line, cut, gram, reach, min_words), schema)
+    did, th = key_columns(inner[names.index(id_col)], "text", typed)
+    # the smaller side of a shuffled hash join: a partition of `found` has no more than the repeats of its documents
+    joined = typed.join(found.hint("shuffle_hash"), (did == F.col("m_did")) & (th == F.col("m_th")), "left")
+    out = joined.select(*inner, "matches").mapInArrow(_rewrite(long_line, cut, min_words), typed.schema)
     if length_col in names:
         k = inner[names.index(length_col)]
         out = out.withColumn(k, F.char_length("text").cast(docs.schema[length_col].dataType))
     return out.toDF(*names)
-

@@ -497,6 +497,99 @@ def test_winnowing_guarantee():
     assert set.intersection(*prints)
 
 
+def brute_dedup(data, gram, window, min_words):
+    """The same definition with dictionaries: winnowing by looking at every window, all places in order."""
+    from stratarch.llm.textbatch import TextBatch
+
+    places = []  # (key, text's words, selected positions)
+    for k, t in sorted(data):
+        w = t.split()
+        h = [int(x) for x in _gram_hashes(w, gram)]
+        picked = set()
+        for a in range(max(1, len(h) - window + 1) if h else 0):
+            low = min(h[a : a + window])
+            picked.add(max(i for i in range(a, min(a + window, len(h))) if h[i] == low))
+        places.append((k, w, sorted(picked)))
+    first_fp, first_span, texts, out = {}, {}, {k: w for k, w, _ in places}, {}
+    for k, w, at in places:
+        for i, p in enumerate(at):
+            first_fp.setdefault(tuple(w[p : p + gram]), (k, p))
+            if i + 1 < len(at):
+                first_span.setdefault(tuple(w[p : at[i + 1] + gram]), (k, p))
+    for k, w, at in places:
+        mark = [False] * len(w)
+
+        def extend(own, other, step, w=w, mark=mark):
+            (x, p), q = other, own
+            for _ in range(gram + window):
+                if not (0 <= p < len(texts[x]) and 0 <= q < len(w)) or texts[x][p] != w[q]:
+                    break
+                mark[q] = True
+                p, q = p + step, q + step
+
+        later = [first_fp[tuple(w[p : p + gram])] != (k, p) for p in at]
+        span = [None if i + 1 == len(at) else first_span[tuple(w[p : at[i + 1] + gram])] for i, p in enumerate(at)]
+        led = [s is not None and s != (k, p) for s, p in zip(span, at)]
+        for i, p in enumerate(at):
+            if not later[i]:
+                continue
+            place = span[i] if led[i] else first_fp[tuple(w[p : p + gram])]
+            for q in range(p, (at[i + 1] if led[i] else p) + gram):
+                mark[q] = True
+            if not (i and led[i - 1]):
+                extend(p - 1, (place[0], place[1] - 1), -1)
+            if led[i] and not led[i + 1]:
+                extend(at[i + 1] + gram, (place[0], place[1] + at[i + 1] - p + gram), 1)
+            if not led[i] and not (i and led[i - 1]):
+                extend(p + gram, (place[0], place[1] + gram), 1)
+        runs, kept, i = [], [], 0
+        while i < len(w):
+            j = i
+            while j < len(w) and mark[j] == mark[i]:
+                j += 1
+            kept += [] if mark[i] and j - i >= min_words else w[i:j]
+            i = j
+        out[k] = kept
+    return out
+
+
+def _gram_hashes(words, gram):
+    from stratarch.llm.textbatch import TextBatch
+
+    lines = linededup.Lines(TextBatch(pa.array([" ".join(words)])), 0, 1)
+    return linededup.fingerprints(lines, gram, 1)[1]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(40)
+    pool = [[f"p{k}w{i}" for i in range(rng.randint(5, 60))] for k in range(12)]
+    word = lambda: f"w{rng.randint(0, 40)}"
+    data = []
+    for k in range(120):
+        w = []
+        for _ in range(rng.randint(1, 6)):
+            p = rng.choice(pool)
+            a, b = sorted((rng.randint(0, len(p)), rng.randint(0, len(p))))
+            w += rng.choice([p, p[a:b], [word() for _ in range(rng.randint(1, 30))]])
+        data.append((k, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for gram, window, least in ((8, 18, 25), (3, 4, 6), (2, 1, 2)):
+        got = {r.doc_id: r.text.split() for r in linededup.dedup_lines(df, gram=gram, window=window, min_words=least).collect()}
+        assert got == brute_dedup(data, gram, window, least)
+
+
+def test_line_dedup_pieces_of_a_passage_in_an_earlier_text(spark):
+    """The passage stands whole in texts 1, 3 and 5, its pieces are strewn over 0, 2 and 4: none of it stays in 3 and 5."""
+    rng = random.Random(41)
+    lines = [prose(rng, 9) for _ in range(60)]
+    strewn = lambda: "\n".join(x for k in range(0, 60, 3) for x in (*lines[k : k + 3], prose(rng, 9)))
+    whole = lambda: prose(rng, 30) + "\n" + "\n".join(lines) + "\n" + prose(rng, 30)
+    data = [(k, whole() if k % 2 else strewn()) for k in range(6)]
+    got = {r[0]: r[1] for r in linededup.dedup_lines(spark.createDataFrame(data, "`i.d` string, text string").selectExpr("cast(`i.d` as int) `i.d`", "text"), "i.d").collect()}
+    for k in (3, 5):
+        assert not any(x in got[k] for x in lines) and got[k].split() == data[k][1].split()[:30] + data[k][1].split()[-30:]
+
+
 def test_line_dedup_awkward(spark, messy):
     got = linededup.dedup_lines(messy)
     assert got.columns == messy.columns and got.count() == messy.count()
