@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .shared import materialize
+from .shared import key_of, materialize, maybe_broadcast
 
 
 class PrunedGraph:
@@ -152,10 +153,11 @@ class Shard:
             else:
                 r, w, v = [], [], []
                 for row, (f, e) in enumerate(zip(found.tolist(), d.tolist())):
-                    n = 0
+                    n, last = 0, 0.0
                     for i, y in zip(f, e):
-                        if i < 0 or n > self.k:
+                        if i < 0 or n > self.k and y > last:  # equally distant ones compete by id
                             break
+                        last = y
                         m = self.members[i]
                         n += len(m)
                         r += [row] * len(m)
@@ -173,34 +175,31 @@ class Shard:
         return np.concatenate(rows), np.concatenate(who), np.concatenate(dist)
 
 
-def _vectors(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
-
-
-def _search(dim: int, k: int, degree: int, beam: int, alpha: float):
-    """Rows sorted by (shard, kind): a shard's vectors come first, then the queries, which stream past its graph."""
+def _search(k: int, degree: int, beam: int, alpha: float):
+    """Rows sorted by (cell, kind): a shard's vectors come first, then the queries, which stream past its graph."""
 
     def run(it):
         at, shard = None, None
         ids: list[np.ndarray] = []
         xs: list[np.ndarray] = []
         for batch in it:
-            number, kind, who = (batch.column(c).to_numpy() for c in (0, 1, 2))
-            x = _vectors(batch.column(3), dim)
-            edges = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (kind[1:] != kind[:-1])))
-            for a, b in zip(edges, np.append(edges[1:], len(number))):
-                if number[a] != at:
-                    at, shard, ids, xs = number[a], None, [], []
+            cell, kind, who = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            edges = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1]))) if len(cell) else []
+            for a, b in zip(edges, np.append(edges[1:], len(cell))):
+                flat = batch.column(3).slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                x = flat.astype(np.float32, copy=False).reshape(b - a, -1)  # a cell's vectors are of one length
+                if cell[a] != at:
+                    at, shard, ids, xs = cell[a], None, [], []
                 if kind[a] == 0:
                     ids.append(who[a:b])
-                    xs.append(x[a:b])
+                    xs.append(x)
                     continue
                 if shard is None:
                     if not ids:
                         continue
                     shard = Shard(np.concatenate(ids), np.concatenate(xs), k, degree, beam, alpha)
                     ids, xs = [], []
-                r, w, d = shard.nearest(who[a:b], x[a:b])
+                r, w, d = shard.nearest(who[a:b], x)
                 size = np.bincount(r, minlength=b - a)
                 lists = pa.ListArray.from_arrays(
                     np.append(0, np.cumsum(size)).astype(np.int32), pa.StructArray.from_arrays([pa.array(d.astype(np.float64)), pa.array(w.astype(np.int64))], ["d", "w"]))
@@ -210,33 +209,46 @@ def _search(dim: int, k: int, degree: int, beam: int, alpha: float):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
+    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
     shard_rows: int = 16384, degree: int = 24, beam: int = 40, alpha: float = 1.2,
 ) -> DataFrame:
-    """The k approximate nearest others of every vector, by Euclidean distance.
-
-    Result: (vec_id, rank, neighbour_id, distance); rank 1 is nearest, ties by id. Vectors are spread by hash of the id
-    over shards of about `shard_rows`; every shard has its own graph, every vector is a query to each shard, and the
-    shards' answers are merged. Left out, as query and as neighbour: null ids, null or empty vectors, those with a null, NaN
-    or infinite part, and those whose length is not the commonest one (the lower on a tie). Rows with one id count
-    once, with the least vector. Equal vectors share a node, so copies never crowd out other neighbours of the
-    graph. Fewer than k others give fewer rows; an empty table gives none.
+    """The k approximate nearest others, by Euclidean distance, of every vector of `queries` (of `vectors`, if not given).
+
+    Result: (vec_id, rank, neighbour_id, distance); rank 1 is nearest, ties by id. All vectors are indexed: they are
+    spread by hash of the id over shards of about `shard_rows`, every shard has its own graph, each query goes to all
+    shards for its length, and the shards' answers are merged, so work grows with queries times shards. Queries are
+    told from their equals by id: a neighbour with the query's id is left out. Vectors meet only vectors of their own
+    length. Left out, as query and as neighbour: null ids, null or empty vectors and those with a null, NaN or infinite
+    part. Rows with one id count once, with the least vector. Equal vectors share a node, so copies never crowd out
+    other neighbours of the graph. Fewer than k others give fewer rows; an empty table gives none. Ids that aren't
+    integers are ordered by a 64-bit hash.
     """
     spark = vectors.sparkSession
-    v = F.col(f"`{vector_col}`").cast("array<float>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull()).where(
-        F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & (F.size("v") > 0))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    schema = "vec_id long, rank int, neighbour_id long, distance double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim = sizes[0].dim
-    clean, _ = materialize(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    shards = max(1, -(-clean.count() // shard_rows))
-    own = clean.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = clean.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    rows = own.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    answers = rows.mapInArrow(_search(dim, k, degree, beam, alpha), "vec_id long, found array<struct<d double, w long>>")
+
+    def clean(df: DataFrame, name: str) -> DataFrame:
+        v = F.col(f"`{vector_col}`").cast("array<float>")
+        rows = df.select(key_of(id_col, df).alias("id"), F.col(f"`{id_col}`").alias("name"), v.alias("v")).where(F.col("id").isNotNull()).where(
+            F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & (F.size("v") > 0))
+        return materialize(rows.groupBy("id").agg(F.min("v").alias("v"), F.min("name").alias("name")), name)[0]
+
+    known = clean(vectors, "vectors")
+    asking = known if queries is None else clean(queries, "queries")
+    # one row a vector length: its number of shards, and the number of its first one
+    counts = known.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int"))
+    before = F.sum("shards").over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1))
+    dims, _ = materialize(counts.select("dim", "shards", F.coalesce(before, F.lit(0)).cast("int").alias("base")), "dims")
+    total = dims.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    dims = maybe_broadcast(dims, 16)
+    own = known.join(dims, F.size("v") == F.col("dim")).select((F.col("base") + F.pmod(F.xxhash64("id"), F.col("shards"))).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "v")
+    asked = asking.join(dims, F.size("v") == F.col("dim")).select(
+        F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1)).alias("cell"), F.lit(1).alias("kind"), "id", "v")
+    rows = own.unionByName(asked).repartitionById(max(1, total), "cell").sortWithinPartitions("cell", "kind", "id")
+    answers = rows.mapInArrow(_search(k, degree, beam, alpha), "vec_id long, found array<struct<d double, w long>>")
     best = answers.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
-    return best.select("vec_id", F.posexplode("best").alias("at", "n")).select(
+    best = best.select("vec_id", F.posexplode("best").alias("at", "n")).select(
         "vec_id", (F.col("at") + 1).alias("rank"), F.col("n.w").alias("neighbour_id"), F.round(F.sqrt("n.d"), 6).alias("distance"))
+    if isinstance(vectors.schema[id_col].dataType, IntegralType):
+        return best
+    to = known.select(F.col("id").alias("neighbour_id"), F.col("name").alias("b"))
+    of = asking.select(F.col("id").alias("vec_id"), F.col("name").alias("a"))
+    return best.join(to, "neighbour_id").join(of, "vec_id").select(F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour_id"), "distance")

@@ -92,7 +92,14 @@ def test_ann_awkward(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [1.0]), (8, [None, 1.0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in data], "vec_id long, embedding array<double>, shard int, v string")
-    assert rows(ann.nearest_neighbours(df), "vec_id", "rank", "neighbour_id") == [(1, 1, 2), (2, 1, 1)]
+    # 7 and 9 have one part, and meet only each other
+    df = df.union(spark.createDataFrame([(9, [3.0], 1, "x")], df.schema))
+    assert rows(ann.nearest_neighbours(df), "vec_id", "rank", "neighbour_id") == [(1, 1, 2), (2, 1, 1), (7, 1, 9), (9, 1, 7)]
+    named = df.selectExpr("'n' || vec_id as `a.b`", "embedding")
+    assert rows(ann.nearest_neighbours(named, id_col="a.b"), "vec_id", "neighbour_id") == [("n1", "n2"), ("n2", "n1"), ("n7", "n9"), ("n9", "n7")]
+    assert rows(ann.nearest_neighbours(df, df.where("vec_id = 2")), "vec_id", "rank", "neighbour_id") == [(2, 1, 1)]
+    ties = spark.createDataFrame([(k, [1.0 * (k % 2), 1.0 - k % 2]) for k in range(30)] + [(99, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [r[0] for r in ann.nearest_neighbours(ties, ties.where("vec_id = 99"), k=5).orderBy("rank").select("neighbour_id").collect()] == [0, 1, 2, 3, 4]
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
