@@ -1,97 +1,27 @@
-"""LM scoring: Ziv-Merhav cross-parsing of documents against reference text from the corpus."""
+"""LM scoring: Ziv-Merhav cross-parsing of every document against the text of all others."""
 
 from __future__ import annotations
 
 import gc
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import listing, locate
-from .shared import drop_path, key_columns, materialize, maybe_broadcast, original_id
-from .textbatch import SPACE, U64, TextBatch, _powers, batches, mix, starts_of_runs
+from .shared import drop_path, materialize, scratch_path
+from .textbatch import SPACE, U64, TextBatch, batches, mix, starts_of_runs
 
-
-class SuffixAutomaton:
-    """Recognises every contiguous token sequence of the reference texts.
-
-    `next[s]` maps a token to a state; state 0 is the start. Every text is added from the start on, so no match spans
-    two of them.
-    """
-
-    def __init__(self):
-        self.next: list[dict] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.tokens = 0
-
-    def add(self, tokens) -> None:
-        """Add one text."""
-        nxt, link, length = self.next, self.link, self.length
-        last = 0
-        for c in tokens:
-            q = nxt[last].get(c)
-            if q is not None:
-                # the sequence is known already; at most split its state
-                if length[q] == length[last] + 1:
-                    last = q
-                    continue
-                clone = len(nxt)
-                nxt.append(nxt[q].copy())
-                link.append(link[q])
-                length.append(length[last] + 1)
-                link[q] = clone
-                p = last
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                last = clone
-                continue
-            cur = len(nxt)
-            nxt.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nxt[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    link[q] = link[cur] = clone
-                    while p >= 0 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
-                        p = link[p]
-            last = cur
-        self.tokens += len(tokens)
-
-    def phrases(self, tokens) -> int:
-        """Greedy factors: each is the longest match from where the last ended, or one unknown token."""
-        nxt = self.next
-        start = nxt[0]
-        state, count = start, 0
-        for c in tokens:
-            s = state.get(c)
-            if s is None:
-                if state is not start:
-                    count += 1
-                    s = start.get(c)
-                if s is None:  # a token that the reference lacks
-                    count += 1
-                    state = start
-                    continue
-            state = nxt[s]
-        return count + (state is not start)
+#: Lengths whose word sequences are looked up together; a round goes on only where the last length of the one before
+#: was found. The last length is the order: longer matches are followed by their windows of so many words.
+ROUNDS = ((1, 2), (3, 4), (5, 6, 7, 8))
+#: Words of a slice, the unit of work; a longer document is a slice of its own.
+SLICE_WORDS = 2_000_000
+WORD_BYTES, GRAM_BYTES = 5, 6
+_WORD = U64((1 << (8 * WORD_BYTES)) - 1)
 
 
 def self_phrases(tokens) -> int:
@@ -117,205 +47,6 @@ def divergence(tokens: int, cross: int, own: int) -> float | None:
     return (cross * math.log2(tokens) - own * math.log2(max(own, 1))) / tokens
 
 
-#: Words of documents that are matched at a time, and positions that are searched at a time.
-CHUNK_WORDS, SEARCHED = 1_200_000, 1 << 16
-#: Reference words of an index, in units of `reference_words`; bytes of a row that holds a part of an index.
-UNITS, PART_BYTES = 32, 4 << 20
-#: A filter has the sequences of up to this many words.
-LONGEST = 8
-_TEXT_END = U64(1 << 63)  # words have the top bit clear, ends of reference texts are above this
-
-
-def _tokens(t: TextBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Words as 63-bit hashes, and how many each text has."""
-    starts, ends = t.spans(~SPACE[t.buf])
-    return t.hashes(starts, ends) >> U64(1), np.bincount(t.doc_of(starts), minlength=t.n)
-
-
-def suffix_array(words: np.ndarray) -> np.ndarray:
-    """Positions in the order of what follows them, by prefix doubling; the last word must be unique."""
-    _, rank = np.unique(words, return_inverse=True)
-    at = np.argsort(rank, kind="stable")
-    rank = np.searchsorted(rank[at], rank)  # a group of equal prefixes is known by its first place
-    order, n, k, open_ = at, len(words), 1, np.arange(len(words))
-    while True:
-        group = rank[order[open_]]
-        single = starts_of_runs(group) & np.append(starts_of_runs(group)[1:], True)
-        open_ = open_[~single]
-        if not len(open_):
-            return order.astype(np.int32)
-        p = order[open_]
-        key = rank[p] * n + rank[p + k]
-        by = np.argsort(key)
-        order[open_] = p[by]
-        first = np.where(starts_of_runs(key[by]), open_, 0)
-        rank[p[by]] = np.maximum.accumulate(first)
-        k *= 2
-
-
-class Sequence:
-    """Words with hashes of all their windows."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.sums = np.zeros(len(words) + 1, U64)
-        np.cumsum(words * _powers(len(words) + 1)[0][: len(words)], out=self.sums[1:])
-
-    def grams(self, at: np.ndarray, size) -> np.ndarray:
-        """Hashes of the windows at `at`; one that would pass the end is cut."""
-        to = np.minimum(at + size, len(self.words))
-        return mix((self.sums[to] - self.sums[at]) * _powers(len(self.words) + 1)[1][at] + (to - at).astype(U64))
-
-
-def _same(a: Sequence, i, b: Sequence, j, size) -> np.ndarray:
-    if size == 1:
-        return a.words[np.minimum(i, len(a.words) - 1)] == b.words[np.minimum(j, len(b.words) - 1)]
-    p, _ = _powers(max(len(a.words), len(b.words)) + 1)
-    x, y = i + size, j + size
-    ok = (x <= len(a.words)) & (y <= len(b.words))
-    x, y = np.minimum(x, len(a.words)), np.minimum(y, len(b.words))
-    return ok & ((a.sums[x] - a.sums[i]) * p[j] == (b.sums[y] - b.sums[j]) * p[i])
-
-
-def common_length(a: Sequence, i: np.ndarray, b: Sequence, j: np.ndarray) -> np.ndarray:
-    """How many words are equal from each i and j on."""
-    n, failed, live, step = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.arange(len(i)), 1
-    while len(live):
-        ok = _same(a, i[live] + n[live], b, j[live] + n[live], step)
-        failed[live[~ok]] = step
-        live = live[ok]
-        n[live] += step
-        step *= 2
-    while step > 1:
-        step //= 2
-        live = np.flatnonzero(failed > step)
-        if len(live):
-            n[live[_same(a, i[live] + n[live], b, j[live] + n[live], step)]] += step
-    return n
-
-
-class Index:
-    """Suffix array of some reference texts, with a filter of their sequences of up to LONGEST words."""
-
-    def __init__(self, words, order, bits, ends, did, th):
-        self.text, self.order, self.bits, self.ends = Sequence(words), order, bits, ends
-        self.own = {k: i for i, k in enumerate(zip(did.tolist(), th.tolist()))}
-        first = words[order]
-        self.places = np.flatnonzero(np.append(starts_of_runs(first), True))
-        self.vocabulary = first[self.places[:-1]]
-        # nearest place before and behind that belongs to another text
-        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))[order]
-        change = starts_of_runs(owner)
-        new, run = np.flatnonzero(change).astype(np.int32), np.cumsum(change, dtype=np.int32) - 1
-        self.owner, self.before, self.behind = owner, new[run] - 1, np.append(new[1:], np.int32(len(order)))[run]
-
-    @staticmethod
-    def build(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words with an end of its own behind each text, suffix array, filter, places of the ends)"""
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        words = np.concatenate([x for k, t in enumerate(texts) for x in (t, [_TEXT_END + U64(k + 1)])]).astype(U64)
-        s, at = Sequence(words), np.arange(len(words))
-        size = 1 << max(10, (32 * len(words)).bit_length())
-        bits = np.zeros(size, bool)
-        for n in range(1, LONGEST + 1):
-            bits[s.grams(at, n) & U64(size - 1)] = True
-        return words, suffix_array(words), np.packbits(bits), ends
-
-    def maybe(self, grams: np.ndarray) -> np.ndarray:
-        """False only for sequences that no text has."""
-        g = grams & U64(8 * len(self.bits) - 1)
-        return (self.bits[g >> U64(3)] >> (U64(7) - (g & U64(7))).astype(np.uint8)) & 1 > 0
-
-    def longest(self, doc: Sequence, at: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Words that match from each place on in any text but `own`."""
-        word = np.minimum(np.searchsorted(self.vocabulary, doc.words[at]), len(self.vocabulary) - 1)
-        live = np.flatnonzero(self.vocabulary[word] == doc.words[at])
-        out = np.zeros(len(at), np.int64)
-        known, at, own, word = live, at[live], own[live], word[live]
-        lo, hi = self.places[word], self.places[word + 1]
-        live = np.arange(len(at))
-        while len(live):
-            mid = (lo[live] + hi[live]) // 2
-            i, j = at[live], self.order[mid].astype(np.int64)
-            n = common_length(doc, i, self.text, j)
-            less = self.text.words[j + n] < doc.words[i + n]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        for place, other in ((lo - 1, self.before), (lo, self.behind)):
-            ok = np.flatnonzero((place >= 0) & (place < len(self.order)))
-            place = place[ok]
-            place = np.where(self.owner[place] == own[ok], other[place], place)
-            inside = (place >= 0) & (place < len(self.order))
-            ok, place = ok[inside], place[inside]
-            out[known[ok]] = np.maximum(out[known[ok]], common_length(doc, at[ok], self.text, self.order[place].astype(np.int64)))
-        return out
-
-
-def _build_indexes(it):
-    """Rows sorted by bucket; a bucket's index goes out in parts."""
-
-    def flush(bucket, texts, keys):
-        words, order, bits, ends = Index.build(texts)
-        did, th = np.array(keys, np.int64).T
-        for name, a in enumerate((words, order, bits, ends, did, th)):
-            data = a.tobytes()
-            for k in range(0, len(data), PART_BYTES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket]), pa.array([name], pa.int32()), pa.array([k]), pa.array([data[k : k + PART_BYTES]], pa.binary())], ["bucket", "name", "at", "data"])
-
-    bucket, texts, keys = None, [], []
-    for part in batches(it):
-        words, count = _tokens(TextBatch(part["text"]))
-        border = np.append(0, np.cumsum(count))
-        for k, key in enumerate(zip(part["bucket"].to_pylist(), part["did"].to_pylist(), part["th"].to_pylist())):
-            if key[0] != bucket:
-                if texts:
-                    yield from flush(bucket, texts, keys)
-                bucket, texts, keys = key[0], [], []
-            texts.append(words[border[k] : border[k + 1]])
-            keys.append(key[1:])
-    if texts:
-        yield from flush(bucket, texts, keys)
-
-
-def _indexes(path: str):
-    """The indexes in a folder, one in memory at a time; a file has whole ones."""
-    kinds = (U64, np.int32, np.uint8, np.int64, np.int64, np.int64)
-    for name, _ in listing(path, False):
-        system, inner = locate(name)
-        with system.open_input_file(inner) as f:
-            file, bucket, parts = pq.ParquetFile(f), None, {}
-            for batch in file.iter_batches(batch_size=1):
-                r = batch.to_pylist()[0]
-                if r["bucket"] != bucket and parts:
-                    yield Index(*(np.frombuffer(b"".join(parts.pop(k)), kind) for k, kind in enumerate(kinds)))
-                bucket = r["bucket"]
-                parts.setdefault(r["name"], []).append(r["data"])
-            if parts:
-                yield Index(*(np.frombuffer(b"".join(parts.pop(k)), kind) for k, kind in enumerate(kinds)))
-
-
-def longest_matches(texts: list[np.ndarray], keys: list[tuple[int, int]], indexes) -> list[np.ndarray]:
-    """For every word of every text, how many words from there on stand in a row in some reference text but its own."""
-    border = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
-    doc = Sequence(np.concatenate([x for t in texts for x in (t, [_TEXT_END])]).astype(U64))
-    best = np.zeros(len(doc.words), np.int64)
-    wanted = doc.grams(np.arange(len(best)), 1)  # what an index must have to be better
-    for index in indexes:
-        own = np.array([index.own.get(k, -1) for k in keys])
-        found = np.flatnonzero(index.maybe(wanted))
-        for k in range(0, len(found), SEARCHED):
-            at = found[k : k + SEARCHED]
-            n = index.longest(doc, at, own[np.searchsorted(border, at, "right") - 1])
-            more = n > best[at]
-            at, n = at[more], n[more]
-            best[at] = n
-            wanted[at] = doc.grams(at, np.minimum(n + 1, LONGEST))
-        del index  # before the next one is read
-    return [best[a : b - 1] for a, b in zip(border, border[1:])]
-
-
 def greedy_phrases(longest: list[int]) -> int:
     """Greedy factors: each is the longest match from where the last ended, or one unknown token."""
     at = count = 0
@@ -325,73 +56,250 @@ def greedy_phrases(longest: list[int]) -> int:
     return count
 
 
-def _score(path: str, reference_tokens: int):
-    def run(it):
-        gc.disable()  # parses make many objects without cycles; collecting them over and over takes longer
+def _packed(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of each integer, one after the other."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).ravel()
+
+
+def _unpacked(data, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
 
-        def flush(texts, keys, references):
-            out = []
-            for words, (did, th), ref, longest in zip(texts, keys, references, longest_matches(texts, keys, _indexes(path))):
-                n, cross, own = len(words), greedy_phrases(longest.tolist()), self_phrases(words.tolist())
-                out.append((did, th, n, cross, own, reference_tokens - n * bool(ref), divergence(n, cross, own)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.float64()])], _NAMES)
+def _slices(folder: str):
+    """Documents to slices: a file with their words each, and a row that names it."""
+
+    def run(it):
+        system, base = fs.FileSystem.from_uri(folder)
+        ids, counts, words, size = [], [], [], 0
+
+        def flush():
+            name = f"{base}/{uuid.uuid4().hex}"
+            with system.open_output_stream(name) as f:
+                for w in words:
+                    f.write(_packed(w, WORD_BYTES))
+            n = np.concatenate(counts)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x) for x in (pa.concat_arrays(ids), pa.array(n))]
+            return pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([size], pa.int64()), *lists], ["file", "words", "ids", "counts"])
 
-        texts, keys, references, size = [], [], [], 0
         for part in batches(it):
-            words, count = _tokens(TextBatch(part["text"]))
-            texts += np.split(words, np.cumsum(count)[:-1])
-            keys += zip(part["did"].to_pylist(), part["th"].to_pylist())
-            references += part["is_reference"].to_pylist()
-            size += len(words) + len(count)
-            if size >= CHUNK_WORDS:
-                yield flush(texts, keys, references)
-                texts, keys, references, size = [], [], [], 0
-        if texts:
-            yield flush(texts, keys, references)
+            t = TextBatch(part["text"])
+            starts, ends = t.spans(~SPACE[t.buf])
+            ids.append(part["id"])
+            counts.append(np.bincount(t.doc_of(starts), minlength=t.n).astype(np.int64))
+            words.append(t.hashes(starts, ends) & _WORD)
+            size += len(starts)
+            if size >= SLICE_WORDS:
+                yield flush()
+                ids, counts, words, size = [], [], [], 0
+        if ids:
+            yield flush()
+
+    return run
+
+
+class Slice:
+    """The words of some documents, and how much of each place's longest match is known."""
+
+    def __init__(self, folder: str, file: str, counts: np.ndarray):
+        system, base = fs.FileSystem.from_uri(folder)
+        with system.open_input_stream(f"{base}/{file}") as f:
+            self.words = _unpacked(f.read(), WORD_BYTES)
+        self.counts, self.doc = counts, np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.room = np.repeat(np.cumsum(counts), counts) - np.arange(len(self.doc))  # words up to the document's end
+
+    def grams(self, known: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(places, hashes) by length: of what may stand elsewhere, going by the matches `known` so far."""
+        least = lengths[0] - 1
+        open_ = known >= least
+        open_[:-1] &= open_[1:] | (self.room[:-1] == least)
+        h, places, hashes = None, [], []
+        for n in range(1, lengths[-1] + 1):
+            at = np.flatnonzero(open_ & (self.room >= n)) if n >= lengths[0] or h is None else at
+            if h is None:
+                at = at[self.room[at] >= lengths[0]]
+                h = np.zeros(len(at), U64)
+            elif n > lengths[0]:
+                stay = self.room[before] >= n
+                h = h[stay]
+                at = before[stay]
+            before = at
+            h = mix(h * U64(31) + self.words[at + n - 1] + U64(n))
+            if n >= lengths[0]:
+                places.append(at)
+                hashes.append(h)
+        return places, hashes
+
+    def distinct(self, places: list[np.ndarray], hashes: list[np.ndarray], buckets: int):
+        """(entries by bucket, where each bucket begins, index of each place's entry). The lowest bit of an entry tells
+        that several documents of the slice have it."""
+        h, doc = np.concatenate(hashes), self.doc[np.concatenate(places)]
+        order = np.argsort(h)
+        new = starts_of_runs(h[order])
+        first = np.flatnonzero(new)
+        index = np.empty(len(h), np.int64)
+        index[order] = np.cumsum(new) - 1
+        one, by = h[order[first]], doc[order]
+        many = np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first) if len(first) else np.zeros(0, bool)
+        bucket = (one % U64(buckets)).astype(np.int32)
+        turn = np.argsort(bucket, kind="stable")
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        entries = (((one >> U64(16)) & ~U64(1)) | many.astype(U64))[turn]
+        return entries, np.searchsorted(bucket[turn], np.arange(buckets + 1)), place[index]
+
+
+def _known(s: Slice, rows: list, upto: int, buckets: int) -> np.ndarray:
+    """Longest matches, of up to the last length of round `upto` - 1, from the answers (bucket, data) of a round; the row of
+    bucket -1 has what was known before."""
+    known = next((np.frombuffer(r["data"], np.uint8).copy() for r in rows if r["bucket"] < 0), np.zeros(len(s.words), np.uint8))
+    if not upto:
+        return known
+    places, hashes = s.grams(known, ROUNDS[upto - 1])
+    _, _, index = s.distinct(places, hashes, buckets)
+    answers = [np.frombuffer(r["data"], np.uint8) for r in sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])]
+    found = np.concatenate([*answers, np.zeros(0, np.uint8)])[index] > 0
+    at = 0
+    for n, p in zip(ROUNDS[upto - 1], places):
+        yes = p[found[at : at + len(p)]]
+        known[yes[known[yes] == n - 1]] = n
+        at += len(p)
+    return known
+
+
+def _ask(folder: str, upto: int, buckets: int):
+    """Slices with the answers of the round before to what round `upto` looks up: (bucket, slice, data); bucket -1 has what is
+    known."""
+
+    def run(it):
+        for batch in it:
+            for r in batch.to_pylist():
+                s = Slice(folder, r["file"], np.array(r["counts"], np.int64))
+                known = _known(s, r["answers"] or [], upto, buckets)
+                entries, edges, _ = s.distinct(*s.grams(known, ROUNDS[upto]), buckets)
+                some = np.flatnonzero(np.diff(edges))
+                offsets = (np.append(edges[some], edges[-1]) * GRAM_BYTES).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(_packed(entries, GRAM_BYTES))])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.full(len(some), r["slice"], np.int64)), data], _ASKED)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - r["slice"]]), pa.array([r["slice"]]), pa.array([known.tobytes()], pa.binary())], _ASKED)
+
+    return run
+
+
+_ASKED = ["bucket", "slice", "data"]
+
+
+def _answer(it):
+    """Rows sorted by bucket to a byte for each entry: 1 if several slices, or several documents of one, have it."""
+
+    def flush(slices, data):
+        if not data:
+            return
+        e = _unpacked(b"".join(data), GRAM_BYTES)
+        order = np.argsort(e >> U64(1))
+        first = np.flatnonzero(starts_of_runs(e[order] >> U64(1)))
+        size = np.diff(np.append(first, len(e)))
+        found = np.zeros(len(e), np.uint8)
+        found[order] = np.repeat((size > 1) | (np.maximum.reduceat(e[order] & U64(1), first) > 0), size)
+        offsets = np.append(0, np.cumsum([len(d) // GRAM_BYTES for d in data])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bucket] * len(slices), pa.int64()), pa.array(slices, pa.int64()), pa.Array.from_buffers(pa.binary(), len(slices), [None, pa.py_buffer(offsets), pa.py_buffer(found)])], _ASKED)
+
+    bucket, slices, data = None, [], []
+    for batch in it:
+        for b, s, d in zip(*(c.to_pylist() for c in batch.columns)):
+            if b < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([s]), pa.array([d], pa.binary())], _ASKED)
+                continue
+            if b != bucket:
+                yield from flush(slices, data)
+                bucket, slices, data = b, [], []
+            slices.append(s)
+            data.append(d)
+    yield from flush(slices, data)
+
+
+def longest_matches(known: np.ndarray, doc: np.ndarray, order: int) -> np.ndarray:
+    """Matches of up to `order` words to whole ones: a place of `order` words leads on to the next such one."""
+    out = known.astype(np.int64)
+    full = known == order
+    if full.any():
+        last = full.copy()
+        last[:-1] &= ~(full[1:] & (doc[1:] == doc[:-1]))
+        ends = np.flatnonzero(last)
+        at = np.flatnonzero(full)
+        out[at] = ends[np.searchsorted(ends, at)] - at + order
+    return out
+
+
+def _score(folder: str, buckets: int, total: int, id_type: str):
+    def run(it):
+        gc.disable()  # parses make many objects without cycles; collecting them over and over takes longer
+        for batch in it:
+            ids_column = batch.column(batch.schema.get_field_index("ids"))
+            for k, r in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                counts = np.array(r["counts"], np.int64)
+                s = Slice(folder, r["file"], counts)
+                longest = longest_matches(_known(s, r["answers"] or [], len(ROUNDS), buckets), s.doc, ROUNDS[-1][-1])
+                border, out = np.append(0, np.cumsum(counts)).tolist(), []
+                for a, b in zip(border, border[1:]):
+                    cross, own = greedy_phrases(longest[a:b].tolist()), self_phrases(s.words[a:b].tolist())
+                    out.append((b - a, cross, own, total - (b - a), divergence(b - a, cross, own)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.float64()])]
+                yield pa.RecordBatch.from_arrays([ids_column.slice(k, 1).flatten(), *columns], _NAMES)
         gc.enable()
 
     return run
 
 
-_NAMES = ["did", "th", "tokens", "phrases", "own_phrases", "reference_tokens", "score"]
+_NAMES = ["doc_id", "tokens", "phrases", "own_phrases", "reference_tokens", "score"]
+
 
+def cross_parse_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Relative entropy of every document against all others; low is like what other documents have.
 
-def cross_parse_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_words: int = 60_000,
-) -> DataFrame:
-    """Relative entropy of every document against reference text; low is like the reference.
+    Result: (doc_id, tokens, phrases, own_phrases, reference_tokens, score), one row for every row of docs. A document is
+    factored greedily: each phrase is the longest match with the text of any other row, or one unknown word. The reference is
+    the whole table, every row but the document's own, so `reference_tokens` is all words less its own; nothing of it is
+    left out, and equal texts get equal scores. Longest matches are exact up to 8 words (ROUNDS); beyond, a match goes on
+    as long as each window of 8 words stands in another row, as in an automaton of that order. Words are told apart by 40
+    bits of their hashes, sequences by 47 bits within a bucket.
 
-    Result: (doc_id, tokens, phrases, own_phrases, reference_tokens, score), one row for every row of docs.
-    Reference texts are all labelled documents of good quality that aren't toxic; each counts once. They are spread
-    over indexes of about UNITS * `reference_words` words, by running sums of their words, so none is
-    empty and none larger by more than one text. Every document is matched with all of them: the longest match at
-    each word is the maximum over the indexes, so scores don't depend on how the reference is spread. No document
-    meets its own text as reference, save as a copy under another id.
+    Words are what stands between white space. Null, empty and blank texts have 0 tokens and score null. A null id stays
+    null; ids may be of any type. Repeated rows match each other and get equal scores. Long texts are parsed whole. An empty
+    table gives no rows; a single text has no reference, and every word is a phrase.
 
-    Tokens are words between white space. Null, empty and blank texts have 0 tokens and score null. Null labels
-    and labels of unknown ids don't count; without reference text every token is a phrase. A null id stays null.
-    Repeated rows get equal scores. Long texts are parsed whole. Empty tables give no rows.
+    The words of slices of documents are written once. In each round a slice sends the distinct sequences that may
+    still match, 6 bytes each, to buckets by hash, and gets a byte for each; a sequence that many documents have is sent once
+    a slice, so no bucket is hot. Shuffles and work grow with the words, not with documents times reference.
     """
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    did, th = key_columns(id_col, text_col, docs)
-    words = F.regexp_count(text, F.lit(r"\S+")).cast("long")
-    marks = labels.groupBy(F.col(id_col).cast("long").alias("m")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    good, _ = materialize(marks.where("m is not null and q > 0 and t = 0").select(F.col("m").alias("did")), "good")
-    sizes = docs.select(did, th, words.alias("n")).join(maybe_broadcast(good, 16), "did", "left_semi").where("n > 0").dropDuplicates(["did", "th"])
-    sizes, sizes_path = materialize(sizes, "reference")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = UNITS * reference_words
-    spread = F.pmod(F.xxhash64("did", "th"), F.lit(-(-total // (8 * size)) or 1))
-    before = F.sum("n").over(Window.partitionBy("s").orderBy("did", "th").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sizes.withColumn("s", spread).select(
-        "did", "th", (F.col("s") * F.lit(1 << 32) + F.floor(F.coalesce(before, F.lit(0)) / size)).alias("bucket"))
-    placed, _ = materialize(placed, "placed")
-    drop_path(spark, sizes_path)
-    keyed = docs.select(did, th, F.coalesce(text, F.lit("")).alias("text"))
-    placed = maybe_broadcast(placed, 24)
-    texts = keyed.join(placed, ["did", "th"]).dropDuplicates(["did", "th"]).repartition("bucket").sortWithinPartitions("bucket", "did", "th")
-    _, path = materialize(texts.mapInArrow(_build_indexes, "bucket long, name int, at long, data binary"), "indexes")
-    flagged = keyed.join(placed.select("did", "th", F.lit(True).alias("is_reference")), ["did", "th"], "left")
-    out = flagged.mapInArrow(_score(path, total), "did long, th long, tokens long, phrases long, own_phrases long, reference_tokens long, score double")
-    return out.select(original_id().alias("doc_id"), *_NAMES[2:])
+    schema = docs.schema[id_col].dataType.simpleString()
+    out_schema = f"doc_id {schema}, tokens long, phrases long, own_phrases long, reference_tokens long, score double"
+    folder = scratch_path(spark, "words")
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    slices, _ = materialize(rows.mapInArrow(_slices(folder), f"file string, words long, ids array<{schema}>, counts array<long>"), "slices")
+    count, total = slices.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    if not count:
+        return spark.createDataFrame([], out_schema)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, tasks = 4 * width, min(count, 8 * width)
+    # numbers are dense, so slices are dealt evenly to tasks; the window sorts names, one a slice
+    names = slices.select("file").withColumn("slice", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
+    numbered, _ = materialize(slices.join(names, "file").select("slice", "file", "counts", "ids"), "numbered")
+    answers, old = None, None
+    kinds = "bucket long, slice long, data binary"
+    for upto in range(len(ROUNDS)):
+        given = numbered.select("slice", "file", "counts")
+        given = given.withColumn("answers", F.lit(None).cast("array<struct<bucket long, data binary>>")) if answers is None else given.join(answers, "slice")
+        asked = given.repartitionById(tasks, F.pmod("slice", F.lit(tasks)).cast("int")).mapInArrow(_ask(folder, upto, buckets), kinds)
+        told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, kinds)
+        answers, path = materialize(told.groupBy("slice").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), "answers")
+        if old:
+            drop_path(spark, old)
+        old = path
+    final = numbered.join(answers, "slice").repartitionById(tasks, F.pmod("slice", F.lit(tasks)).cast("int"))
+    return final.mapInArrow(_score(folder, buckets, total, schema), out_schema)

@@ -23,7 +23,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.cross_parse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lmscore.cross_parse_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,63 +233,48 @@ def test_quality_awkward(spark, messy, labels):
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def brute_phrases(reference, tokens):
+def brute_phrases(reference, tokens, order=8):
+    """Greedy factors by search; a match of `order` tokens goes on while its last `order` tokens stand somewhere."""
     joined = [" " + " ".join(map(str, r)) + " " for r in reference]
+    stands = lambda w: any(" " + " ".join(map(str, w)) + " " in j for j in joined)
     at = n = 0
     while at < len(tokens):
         k = 0
-        while at + k < len(tokens) and any(" " + " ".join(map(str, tokens[at : at + k + 1])) + " " in j for j in joined):
+        while at + k < len(tokens) and stands(tokens[max(at, at + k + 1 - order) : at + k + 1]):
             k += 1
         at += max(1, k)
         n += 1
     return n
 
 
-def test_cross_parse_against_search():
-    rng = random.Random(2)
-    for _ in range(40):
-        reference = [[rng.randint(0, 4) for _ in range(rng.randint(0, 30))] for _ in range(3)]
-        machine = lmscore.SuffixAutomaton()
-        for r in reference:
-            machine.add(r)
-        text = [rng.randint(0, 6) for _ in range(40)]
-        assert machine.phrases(text) == brute_phrases(reference, text)
-
-
-def test_lm_scoring_table(spark, docs, corpus, labels):
-    got = {r.doc_id: r for r in lmscore.cross_parse_scores(docs, labels, reference_words=500).collect()}
-    assert len(got) == len(corpus)
-    for k, t, *_ in corpus:
-        n = len(t.split())
-        assert got[k].tokens == n and 1 <= got[k].phrases <= n
-        assert got[k].score == pytest.approx(lmscore.divergence(n, got[k].phrases, got[k].own_phrases))
-    small = sum(r.reference_tokens for r in got.values())
-    more = spark.createDataFrame([(k, 1, 0) for k in range(60)], labels.schema)
-    assert sum(r.reference_tokens for r in lmscore.cross_parse_scores(docs, more, reference_words=100_000).collect()) > small
+@pytest.mark.parametrize("slice_words", [1, 50, 2_000_000])
+def test_lm_scoring_against_search(spark, monkeypatch, slice_words):
+    """Slices of one document, of some, and one slice; the reference is every other row."""
+    monkeypatch.setattr(lmscore, "SLICE_WORDS", slice_words)
+    rng = random.Random(21)
+    data = [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.choice((1, 3, 20, 90))))) for k in range(40)]
+    data += [(50, data[4][1]), (51, data[33][1]), (52, data[33][1]), (53, ""), (54, "alone here"), (55, data[7][1] + " z " + data[9][1] + " " + data[7][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lmscore.cross_parse_scores(docs).collect()}
+    total = sum(len(t.split()) for _, t in data)
+    assert len(got) == len(data)
+    for k, t in data:
+        w = t.split()
+        phrases = brute_phrases([x.split() for j, x in data if j != k], w)
+        own = lmscore.self_phrases(w)
+        assert (got[k].tokens, got[k].phrases, got[k].own_phrases, got[k].reference_tokens) == (len(w), phrases, own, total - len(w))
+        assert got[k].score == (None if not w else pytest.approx(lmscore.divergence(len(w), phrases, own)))
+    assert got[50].phrases == got[51].phrases == 1 and got[51].score == got[52].score
 
 
-def test_lm_scoring_awkward(spark, messy, labels):
-    got = lmscore.cross_parse_scores(messy, labels).collect()
+def test_lm_scoring_awkward(spark, messy):
+    got = lmscore.cross_parse_scores(messy).collect()
     assert len(got) == messy.count()
     assert all(r.score is None and r.tokens == 0 for r in got if r.doc_id in (100, 101, 102))
-    assert lmscore.cross_parse_scores(empty(spark), labels).count() == 0
-    none = lmscore.cross_parse_scores(messy, labels.limit(0)).collect()
-    assert all(r.phrases == r.tokens for r in none)
-
-
-def test_lm_scoring_matches_all_reference_text(spark):
-    rng = random.Random(21)
-    data = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.choice((3, 20, 90))))) for k in range(40)]
-    data += [(50, data[4][1]), (51, data[33][1]), (52, data[33][1]), (53, "")]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    # 32 words an index, and all in one
-    for size in (1, 60_000):
-        got = {r.doc_id: r for r in lmscore.cross_parse_scores(docs, labels, reference_words=size).collect()}
-        for k, t in data:
-            reference = [x.split() for j, x in data if j < 40 and j % 2 == 0 and j != k]
-            assert (got[k].phrases, got[k].reference_tokens) == (brute_phrases(reference, t.split()), sum(map(len, reference)))
-        assert got[50].phrases == 1 and got[51].score == got[52].score
+    assert len({r.score for r in got if r.doc_id == 103 and r.tokens != 5}) == 1 and sum(r.doc_id is None for r in got) == 2
+    assert lmscore.cross_parse_scores(empty(spark)).count() == 0
+    one = lmscore.cross_parse_scores(spark.createDataFrame([("x", "a b a b")], "`i.d` string, text string"), "i.d").collect()
+    assert [(r.doc_id, r.phrases, r.reference_tokens) for r in one] == [("x", 4, 0)]
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
