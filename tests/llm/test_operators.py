@@ -678,6 +678,53 @@ def test_license_notices_are_told_apart(spark):
         assert {r.license for r in got if r.doc_id == k} == names
 
 
+def test_license_texts_with_foreign_words_within(spark):
+    """The coverage is that of an alignment with the whole text, wherever the license stands and whatever is put in."""
+    rng = random.Random(50)
+    words = licenses.TEMPLATES["MIT"].split()
+    foreign = lambda n: [f"x{rng.randint(0, 999)}" for _ in range(n)]
+    data = []
+    for k, (front, middle) in enumerate([(0, 180), (7, 400), (333, 5000), (90, 0)]):
+        data.append((k, " ".join([*foreign(front), *words[:80], *foreign(middle), *words[80:], *foreign(50)])))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.license == "MIT"}
+    assert [got[k].coverage for k in range(4)] == [1.0] * 4
+    assert [got[k].first_word for k in range(4)] == [0, 7, 333, 90]
+
+
+def test_license_scan_against_whole_alignment(spark):
+    """Every template against every text by patience over all its words."""
+    rng = random.Random(51)
+    texts = []
+    for name, t in licenses.TEMPLATES.items():
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0-header", "GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "MPL-2.0-header"):
+            w = t.split()
+            texts += [(name, " ".join(w)), (None, " ".join(w[: len(w) // 2])), (None, " ".join(rng.sample(w, len(w)))), (name, " ".join(x for k, x in enumerate(w) if k % 17 != 16 or k < 30))]
+    texts += [(None, "The film was released under the new title by license holders."), (None, "Licensed under terms of the house, version 2.0.")]
+    df = spark.createDataFrame([(k, "before it " * (k % 3) + t + " and after") for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, (name, t) in enumerate(texts):
+        found = [r.license for r in got.get(k, [])]
+        if name:
+            template, text = licenses.words_of([licenses.TEMPLATES[name].lower(), t.lower()])
+            assert found == [name] and got[k][0].matched >= len(licenses.patience(text, template))
+        else:  # half a text may be all of a part that is a template too
+            assert all(n.endswith(("-conditions", "-short-header", "-notice")) for n in found)
+
+
+def test_common_subsequence_without_a_table(monkeypatch):
+    rng = random.Random(52)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(1, 25))] for _ in range(2))
+        monkeypatch.setattr(licenses, "CELLS", 1 << 22)
+        table = licenses._common(a, b)
+        monkeypatch.setattr(licenses, "CELLS", 0)
+        pairs = licenses._common(a, b)
+        assert len(pairs) == len(table) == brute_common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
