@@ -67,7 +67,7 @@ def _unpacked(data, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _slices(folder: str):
+def _slices(folder: str, most: int):
     """Documents to slices: a file with their words each, and a row that names it."""
 
     def run(it):
@@ -90,7 +90,7 @@ def _slices(folder: str):
             counts.append(np.bincount(t.doc_of(starts), minlength=t.n).astype(np.int64))
             words.append(t.hashes(starts, ends) & _WORD)
             size += len(starts)
-            if size >= SLICE_WORDS:
+            if size >= most:
                 yield flush()
                 ids, counts, words, size = [], [], [], 0
         if ids:
@@ -281,7 +281,7 @@ def cross_parse_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    slices, _ = materialize(rows.mapInArrow(_slices(folder), f"file string, words long, ids array<{schema}>, counts array<long>"), "slices")
+    slices, _ = materialize(rows.mapInArrow(_slices(folder, SLICE_WORDS), f"file string, words long, ids array<{schema}>, counts array<long>"), "slices")
     count, total = slices.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     if not count:
         return spark.createDataFrame([], out_schema)
