@@ -66,7 +66,8 @@ def counter(element: np.ndarray) -> np.ndarray:
 
 
 def signatures(s: Sets, threshold: float, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of text, signature) for the band of each set and the next one up.
+    """(index of text, signature) for the band of each set and the next one up; the lowest bit tells which. Two sets need
+    only meet where one of them is at home.
 
     A signature is as strong as its elements are rare, by `rarity` of their counters; weak ones, of few or common
     elements, are what unlike sets share by chance.
@@ -100,7 +101,7 @@ def signatures(s: Sets, threshold: float, rarity: np.ndarray) -> tuple[np.ndarra
         place = np.arange(int(base[-1])) - np.repeat(base[:-1], cells)
         tag = mix(band[owner].astype(U64) * U64(1 << 40) + place.astype(U64) * U64(SUB))
         rest = sums.sum(1, dtype=U64)[:, None] - sums
-        sig = mix(rest + tag[:, None] + np.arange(SUB, dtype=U64)[None, :]).ravel()
+        sig = (mix(rest + tag[:, None] + np.arange(SUB, dtype=U64)[None, :]).ravel() & ~U64(1)) | U64(up)
         strong = (strength.sum(1)[:, None] - strength).ravel()
         who = np.repeat(owner, SUB)
         # leave out the weakest of each set
@@ -173,12 +174,17 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     return np.maximum(1, np.round(16 * np.log2(out))).astype(np.int64)
 
 
+#: Marks the number of a class; less than it is the size of a set that has none.
+CLASSED = 1 << 62
+
+
 def _signature_rows(n: int, threshold: float, rarity: np.ndarray):
     def run(it):
         for part in batches(it):
             s = Sets(TextBatch(part["text"]), n)
             doc, sig = signatures(s, threshold, rarity)
             cls = part["cls"].to_numpy()
+            cls = np.where(cls == 0, s.size, (cls & (CLASSED - 1)) | CLASSED)
             yield pa.RecordBatch.from_arrays([int64(sig), int64(s.id[doc]), pa.array(cls[doc])], ["sig", "sid", "cls"])
 
     return run
@@ -200,13 +206,13 @@ def _element_rows(n: int):
 HELD = 1 << 21
 
 
-def _pairs_of_runs(it):
-    """Rows sorted by (sig, cls, sid) to pairs of sids of unlike classes (0 is none) and how many of a batch's
-    signatures they share; a batch's last run waits for the next.
+def _pairs_of_runs(threshold: float):
+    """Rows sorted by (signature, cls, sid) to pairs of sids of unlike classes and how many of a batch's signatures they
+    share; a batch's last run waits for the next.
 
-    Sets of one class never pair here, so a group of near copies costs its rows, not its pairs.
+    Sets of one class never pair here, so a group of near copies costs its rows, not its pairs; nor do sets that are
+    both from the band below, which meet at home, or whose sizes are too unlike.
     """
-    left = [np.zeros(0, np.int64)] * 3
 
     def given(a, b):
         a, b = np.minimum(a, b), np.maximum(a, b)
@@ -219,12 +225,12 @@ def _pairs_of_runs(it):
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[k : k + (1 << 16)])], ["a", "b", "c"])
 
     def pairs(sig, sid, cls):
-        new = starts_of_runs(sig)
+        new = starts_of_runs(sig >> 1)
         keep = new | starts_of_runs(sid)
         sig, sid, cls, new = sig[keep], sid[keep], cls[keep], new[keep]
         # every member pairs with those of its run that stand behind its own class
         run_end = _ends(np.flatnonzero(new), len(sig))
-        own_end = _ends(np.flatnonzero(new | starts_of_runs(cls) | (cls == 0)), len(sig))
+        own_end = _ends(np.flatnonzero(new | starts_of_runs(cls) | (cls < CLASSED)), len(sig))
         many = run_end - own_end
         some = np.flatnonzero(many)
         total = np.cumsum(many[some])
@@ -233,20 +239,28 @@ def _pairs_of_runs(it):
             base = total[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(total, base + HELD, "right")))
             i, n = some[at:to], many[some[at:to]]
-            start = np.repeat(own_end[i] - (np.cumsum(n) - n), n)
-            yield from given(sid[np.repeat(i, n)], sid[start + np.arange(len(start))])
+            j = np.repeat(own_end[i] - (np.cumsum(n) - n), n)
+            i, j = np.repeat(i, n), j + np.arange(len(j))
+            # by cls, sets without a class come first and ascend in size
+            meet = ((sig[i] & sig[j] & 1) == 0) & ((cls[j] >= CLASSED) | (cls[i] >= threshold * cls[j] - 1e-9))
+            if meet.any():
+                yield from given(sid[i[meet]], sid[j[meet]])
             at = to
 
-    for batch in it:
-        columns = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(left)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        left = [c[cut:] for c in columns]
-        if cut:
-            yield from pairs(*(c[:cut] for c in columns))
-    if len(left[0]):
-        yield from pairs(*left)
+    def run(it):
+        left = [np.zeros(0, np.int64)] * 3
+        for batch in it:
+            columns = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(left)]
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0] >> 1, columns[0][-1] >> 1))
+            left = [c[cut:] for c in columns]
+            if cut:
+                yield from pairs(*(c[:cut] for c in columns))
+        if len(left[0]):
+            yield from pairs(*left)
+
+    return run
 
 
 def _ends(first: np.ndarray, n: int) -> np.ndarray:
@@ -429,7 +443,7 @@ class Similar:
     w): every distinct set that isn't empty, held by w rows. `blocks` (sid, root, n): sets of a class, each once for every
     block that it meets, with the weight n of similar ones there. `pairs` (a, b, jaccard): similar sets of unlike classes.
 
-    Sets whose minhash bands and sketches agree form classes. Within a class all sets meet, block by block, and no pair
+    Sets that agree in two minhash bands and in their sketches form classes. Within a class all sets meet, block by block, and no pair
     leaves its task. Sets of unlike classes are candidates when they share SHARED signatures, which all similar ones do;
     sizes and sketches, a few bits an element, rule out nearly all false candidates. All three checks are exact.
     """
@@ -450,7 +464,8 @@ class Similar:
         # classes
         banded = known.select("sid", F.explode("bands").alias("band"))
         first = banded.groupBy("band").agg(F.min("sid").alias("a"), F.count("*").alias("c")).where("c > 1")
-        stars, stars_path = materialize(banded.join(first, "band").where("a != sid").select("a", F.col("sid").alias("b")).distinct(), "stars")
+        stars = banded.join(first, "band").where("a != sid").groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+        stars, stars_path = materialize(stars, "stars")
         sketched = known.select("sid", "size", "sketch")
         edges = _meet(stars, sketched, ["size", "sketch"], _far_apart(threshold), "a long, b long", "edges")
         drop_path(spark, stars_path)
@@ -460,7 +475,8 @@ class Similar:
         classed, classed_path = materialize(classed, "classed")
         told = keyed.join(maybe_broadcast(classed, 40), ["did", "th"], "left").select("text", F.coalesce("cls", F.lit(0)).alias("cls"))
         sigs = told.mapInArrow(_signature_rows(n, threshold, rarity), "sig long, sid long, cls long")
-        found = sigs.repartition("sig").sortWithinPartitions("sig", "cls", "sid").mapInArrow(_pairs_of_runs, "a long, b long, c int")
+        key = F.shiftright("sig", 1)
+        found = sigs.repartition(key).sortWithinPartitions(key, "cls", "sid").mapInArrow(_pairs_of_runs(threshold), "a long, b long, c int")
         often = found.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
         candidates, path = materialize(often, "candidates")
         drop_path(spark, classed_path)
