@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import uuid
 
 import pyarrow as pa
@@ -18,6 +19,11 @@ from .shared import scratch_path
 DICTIONARY_MAGIC = 0x184D2A5D
 
 
+def record_id(*parts: str) -> str:
+    """A URN named by the parts, so that a task that runs again names its records alike."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5('\n'.join(parts).encode()).digest(), version=5)}>"
+
+
 def record_bytes(key: str, url: str | None, payload: bytes, date: str) -> bytes:
     """One archived record: version, sorted header lines, block, two empty lines."""
     head = {
@@ -25,7 +31,7 @@ def record_bytes(key: str, url: str | None, payload: bytes, date: str) -> bytes:
         "Content-Type": "text/html",
         "WARC-Block-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(),
         "WARC-Date": date,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(key.encode()).digest(), version=5)}>",
+        "WARC-Record-ID": record_id(key),
         "WARC-Type": "resource",
     }
     if url is not None:
@@ -76,7 +82,7 @@ def publish(target: fs.FileSystem, path: str, data: bytes) -> None:
     target.move(part, path)
 
 
-def _write(folder: str, target_bytes: int, dictionary_size: int, level: int, date: str):
+def _write(folder: str, job: str, target_bytes: int, dictionary_size: int, level: int, date: str):
     def run(it):
         target, base = fs.FileSystem.from_uri(folder)
         number, held, size, names = 0, [], 0, []
@@ -84,7 +90,7 @@ def _write(folder: str, target_bytes: int, dictionary_size: int, level: int, dat
 
         def flush():
             nonlocal number, held, size, names
-            name = f"part-{task:06d}-{number:05d}.warc.zst"
+            name = f"part-{job}-{task:06d}-{number:05d}.warc.zst"
             data, places = archive_file(held, dictionary_size, level)
             publish(target, f"{base}/{name}", data)
             rows = [names, [name] * len(held), list(range(len(held))), [p[0] for p in places], [p[1] for p in places], [len(r) for r in held]]
@@ -92,11 +98,13 @@ def _write(folder: str, target_bytes: int, dictionary_size: int, level: int, dat
             kinds = [ids_type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["page_id", "file", "record", "offset", "length", "record_bytes"])
 
-        ids_type = None
+        ids_type, count = None, 0
         for batch in it:
             ids_type = batch.column(0).type
             for key, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                r = record_bytes(f"{key}\n{url}", url, html or b"", date)
+                # the place in the job tells repeated rows apart
+                r = record_bytes(f"{job}\n{task}\n{count}\n{key}\n{url}", url, html or b"", date)
+                count += 1
                 held.append(r)
                 names.append(key)
                 size += len(r)
@@ -110,23 +118,27 @@ def _write(folder: str, target_bytes: int, dictionary_size: int, level: int, dat
 
 def write_archive(
     pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
-    target_bytes: int = 32 << 20, dictionary_size: int = 64 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z",
+    target_bytes: int = 32 << 20, dictionary_size: int = 64 << 10, level: int = 3, date: str | None = None,
 ) -> DataFrame:
     """Write every row of pages as a record of a .warc.zst file and return the index of what was written.
 
     Index: (page_id, file, record, offset, length, record_bytes), one row for every row of pages, file names relative
     to `folder` (a URI; a new one in the shared folder by default). Each task writes its own files of about
-    `target_bytes` of records, with no shuffle; a file's dictionary is trained on all its records. A null body is
+    `target_bytes` of records, with no shuffle; a file's dictionary is trained on all its records. Files bear the name of
+    the job, so writes into one folder add to it; every record has an id of its own, repeated rows too. `date` is that of all
+    records, the time of the call by default. A null body is
     an empty one, a null URL leaves its header out, line breaks in URLs become spaces, a null id stays null;
     repeated rows are repeated records; a record larger than a file's size has a file to itself; an empty table
     writes nothing. Files with too little to train on have no dictionary frame. The files are written when the index is computed.
     """
     folder = scratch_path(pages.sparkSession, "warc") if folder is None else folder
+    date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()) if date is None else date
+    job = uuid.uuid4().hex[:12]
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{body_col}`").cast("binary").alias("body"))
     return rows.mapInArrow(
-        _write(folder, target_bytes, dictionary_size, level, date), f"page_id {id_type}, file string, record long, offset long, length long, record_bytes long")
+        _write(folder, job, target_bytes, dictionary_size, level, date), f"page_id {id_type}, file string, record long, offset long, length long, record_bytes long")
 
 
 def read_archive(data: bytes) -> list[bytes]:

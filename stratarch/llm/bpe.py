@@ -89,7 +89,7 @@ class ChunkEncoder:
             self.known.move_to_end(data)
             return c
         self.misses += 1
-        c = self.known[data] = Chunk(data.decode(), self.encode)
+        c = self.known[data] = Chunk(data.decode(errors="replace"), self.encode)
         self.size += 12 * len(data)
         while self.size > self.held:
             self.size -= 12 * len(self.known.popitem(last=False)[0])
@@ -170,7 +170,7 @@ def encode_documents(
 
     Result: (doc_id, tokens, n_tokens, exact), one row for every row of docs; `exact` says that decoding gives the
     text back. A null text has null tokens and null exact, and n_tokens 0; an empty one has an empty list. Ids
-    may be null. Strings of special tokens are ordinary text. Long texts are encoded whole; an empty table gives
+    may be null. Bytes that are no UTF-8 count as U+FFFD, and `exact` is false. Strings of special tokens are ordinary text. Long texts are encoded whole; an empty table gives
     no rows.
 
     Documents meet by their least chunk hash (one shuffle), so shared chunks come to one task, where each is encoded
@@ -181,7 +181,9 @@ def encode_documents(
         sent = spark.sparkContext.broadcast(f.read())
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    placed = rows.mapInArrow(_anchors(bits, least), f"id {id_type}, text string, anchor long").repartition("anchor").select("id", "text")
+    placed = rows.mapInArrow(_anchors(bits, least), f"id {id_type}, text string, anchor long")
+    # rebalancing keeps equal anchors together but splits what is too much for one task
+    placed = spark.sql("SELECT /*+ REBALANCE(anchor) */ * FROM {placed}", placed=placed).select("id", "text")
     return placed.mapInArrow(_encode(sent, pattern, bits, least), f"doc_id {id_type}, tokens array<int>, n_tokens long, exact boolean")
 
 

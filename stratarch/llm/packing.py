@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import key_columns, materialize, original_id
 
@@ -134,7 +135,7 @@ def pack_windows(
     Result: (window_id, doc_id, piece, start, length, offset). A document longer than a window is cut into pieces
     of `capacity` and a rest; pieces go into windows whole. Documents are spread over parts by a hash of id and
     text, about `docs_per_part` to a part, so the result depends on the rows alone, not on the cluster; within a
-    part they come in order of id. Each part keeps `slots` windows open: a piece goes to the open window that it
+    part they come in order of id (of its hash, if it isn't an integer), then text hash. Each part keeps `slots` windows open: a piece goes to the open window that it
     fills best; when it fits none and all slots are taken, the fullest is emitted. What stays open in `fan_in`
     parts at a time is packed again, window by window, until one part remains.
 
@@ -142,7 +143,7 @@ def pack_windows(
     no rows; repeated rows are packed as often as they stand; a null id stays null; an empty table gives no rows.
     """
     length = word_count(text_col) if length is None else length
-    base = docs.select(*key_columns(id_col, text_col, docs), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).where("n > 0")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), *key_columns(id_col, text_col, docs), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).where("n > 0")
     sizes, _ = materialize(base, "lengths")
     parts = max(1, -(-sizes.count() // docs_per_part))
     rows = sizes.select(F.pmod(F.xxhash64("did", "th"), F.lit(parts)).alias("part"), "did", "th", "n")
@@ -164,4 +165,7 @@ def pack_windows(
     for d in done[1:]:
         out = out.unionByName(d)
     window = F.concat_ws("-", "level", "part", "number")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        out = out.join(sizes.groupBy("did", "th").agg(F.first("id").alias("id")), ["did", "th"])
+        return out.select(window.alias("window_id"), F.col("id").alias("doc_id"), "piece", "start", "length", "offset")
     return out.select(window.alias("window_id"), original_id().alias("doc_id"), "piece", "start", "length", "offset")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_columns, materialize, original_id
+from .shared import key_columns, key_of, materialize
 from .textbatch import SPACE, TextBatch, distinct, lut, packed, per_doc, slices, starts_of_runs
 
 FEATURES = (
@@ -145,16 +145,16 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray, cost: float) -> float:
 
 
 def feature_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(did, th, f) for every row of docs, in the shared folder: narrow, so later passes leave the texts alone."""
+    """(id, did, th, f) for every row of docs, in the shared folder: narrow, so later passes leave the texts alone."""
 
     def compute(it):
         for batch in it:
-            f = features(batch.column(2))
+            f = features(batch.column(3))
             flat = pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["did", "th", "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat], ["id", "did", "th", "f"])
 
-    keyed = docs.select(*key_columns(id_col, text_col, docs), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return materialize(keyed.mapInArrow(compute, "did long, th long, f array<double>"), "features")
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), *key_columns(id_col, text_col, docs), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return materialize(keyed.mapInArrow(compute, f"id {docs.schema[id_col].dataType.simpleString()}, did long, th long, f array<double>"), "features")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -173,9 +173,16 @@ def fit_quality(
     whatever the size). Labels that are null, or of ids that no document has, don't count; without labels nothing
     but wordless texts is rejected.
     """
-    marks = labels.select(F.col(id_col).cast("long").alias("did"), F.col(label_col).cast("int").alias("label")).dropna()
-    marked = table.join(marks, "did")
-    sample = marked.orderBy(F.xxhash64("did", F.lit(seed)), "did", "th", "label").limit(fit_rows).select("f", "label").collect()
+    marks = labels.select(key_of(id_col, labels).alias("did"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
+    marked, _ = materialize(table.drop("id").join(marks, "did"), "marked")
+    total, order = marked.count(), F.xxhash64("did", F.lit(seed))
+    wanted = marked.select(order.alias("o"), "did", "th", "label", "f")
+    # a cut by hash that leaves somewhat more than fit_rows, so that not every partition sends so many to the driver
+    share = 1.5 * fit_rows / max(total, 1)
+    sample = wanted.where(F.col("o") <= int(share * 2**64) - 2**63).limit(4 * fit_rows).collect() if share < 1 else []
+    if len(sample) < fit_rows or len(sample) == 4 * fit_rows:
+        sample = wanted.orderBy("o", "did", "th", "label").limit(fit_rows).collect()
+    sample = sorted(sample, key=lambda r: r[:4])[:fit_rows]
     if not sample:
         return QualityModel(None, 2.0)
     x, y = np.array([r.f for r in sample]), np.array([r.label for r in sample])
@@ -202,22 +209,22 @@ def fit_quality(
 def score_table(table: DataFrame, model: QualityModel) -> DataFrame:
     def score(it):
         for batch in it:
-            s = model.score(_matrix(batch.column(2))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s, mask=np.isnan(s)), pa.array(model.keeps(s))], ["did", "th", "score", "keep"])
+            s = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, mask=np.isnan(s)), pa.array(model.keeps(s))], ["doc_id", "score", "keep"])
 
-    return table.mapInArrow(score, "did long, th long, score double, keep boolean")
+    return table.select("id", "f").mapInArrow(score, f"doc_id {table.schema['id'].dataType.simpleString()}, score double, keep boolean")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit) -> DataFrame:
     """One row (doc_id, score, keep) for every row of docs, repeated rows included.
 
-    Null, empty and blank texts have score null and keep false; a null id stays null. A long text counts whole.
+    Null, empty and blank texts have score null and keep false; a null id stays null; ids may be of any type, the same in
+    docs and labels. A long text counts whole.
     Ties at the threshold are rejected. An empty table gives an empty result.
     """
     table, _ = feature_table(docs, id_col, text_col)
     model = fit_quality(table, labels, id_col, label_col, **fit)
-    return score_table(table, model).select(original_id().alias("doc_id"), "score", "keep")
+    return score_table(table, model)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit) -> DataFrame:

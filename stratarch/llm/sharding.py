@@ -104,19 +104,27 @@ class ShardStore:
 
     def append(self, df: DataFrame, shard_rows: int = 8192) -> int:
         """Add the rows of df as shards of at most `shard_rows`, each a file of one task; the new version."""
-        folder = f"{self.folder}/shards/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
-        now = self.manifest()
-        if now["schema"] not in (None, df.schema.json()):
-            raise ValueError("the store has another schema")
-        first = 1 + max((s["seq"] for s in now["shards"]), default=-1)
-        return self.commit(now, now["shards"] + self._listed(folder, first), df.schema.json())
+        folder, schema = f"{self.folder}/shards/{uuid.uuid4().hex}", df.schema.json()
+        listed = None
+        while True:  # a writer that was faster has changed the manifest, not the files: the append starts from there
+            now = self.manifest()
+            if now["schema"] not in (None, schema):
+                self._fs.delete(self._path(folder), True)
+                raise ValueError("the store has another schema")
+            if listed is None:
+                df.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
+                listed = self._listed(folder, 0)
+            first = 1 + max((s["seq"] for s in now["shards"]), default=-1)
+            try:
+                return self.commit(now, now["shards"] + [s | {"seq": first + s["seq"]} for s in listed], schema)
+            except CommitConflict:
+                continue
 
     def compact(self) -> int:
         """Merge similarly sized shards until nothing is left to merge; the last version.
 
-        A merge is one task that streams its shards into one file, with no shuffle. Each round is one commit; replaced
-        files go after it.
+        A merge is one task that streams its shards into one file, with no shuffle. Each round is one commit. Replaced files
+        stay, for readers of older versions, until vacuum().
         """
         while True:
             now = self.manifest()
@@ -133,9 +141,26 @@ class ShardStore:
                 if merged[k].rows != sum(s["rows"] for s in g):
                     raise RuntimeError(f"merge {k} has lost rows")
                 shards.append({"path": merged[k].path, "bytes": merged[k].bytes, "rows": merged[k].rows, "seq": g[0]["seq"]})
-            self.commit(now, sorted(shards, key=lambda s: s["seq"]), now["schema"])
-            for p in gone:
-                self._fs.delete(self._path(f"{self.folder}/{p}"), False)
+            try:
+                self.commit(now, sorted(shards, key=lambda s: s["seq"]), now["schema"])
+            except CommitConflict:  # plan anew; what was merged in vain is no one's
+                self._fs.delete(self._path(f"{self.folder}/{out}"), True)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the manifests of all but the last `keep` versions, and the shards that only they name; how many shards.
+
+        Readers of those versions must have ended. Shards that no manifest names, be it of an append under way, stay.
+        """
+        versions = range(1, self.version() + 1)
+        known = {v: self.manifest(v) for v in versions if self._fs.exists(self._path(f"{self.folder}/manifest/v{v:08d}.json"))}
+        old = sorted(known)[: max(0, len(known) - max(1, keep))]
+        held = {s["path"] for v, m in known.items() if v not in old for s in m["shards"]}
+        gone = {s["path"] for v in old for s in known[v]["shards"]} - held
+        for p in sorted(gone):
+            self._fs.delete(self._path(f"{self.folder}/{p}"), False)
+        for v in old:
+            self._fs.delete(self._path(f"{self.folder}/manifest/v{v:08d}.json"), False)
+        return len(gone)
 
     def read(self, version: int | None = None) -> DataFrame:
         from pyspark.sql.types import StructType

@@ -435,6 +435,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(found, key=repr) == sorted(((k, h or "") for k, _, h in data), key=repr)
     assert any((tmp_path / "out" / n).read_bytes()[:4] == b"\x5d\x2a\x4d\x18" for n in files)
     assert archive.write_archive(df.limit(0), folder + "2").count() == 0
+    # a second write adds files, and no two records of any file share an id
+    archive.write_archive(df, folder, target_bytes=60_000).count()
+    raw = [r for f in (tmp_path / "out").glob("*.warc.zst") for r in archive.read_archive(f.read_bytes())]
+    ids = [line for r in raw for line in r.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(raw) == len(set(ids)) == 2 * len(data)
+    large = spark.createDataFrame([(k, "u", "x" * n) for k, n in enumerate([10, 300_000, 10])], "page_id long, url string, html string").coalesce(1)
+    assert len({r.file for r in archive.write_archive(large, folder + "3", target_bytes=1000).collect()}) == 2
 
 
 # 7 ------------------------------------------------------------------------------------------------------------------
@@ -618,6 +625,27 @@ def test_sharding_commit_conflict(spark, docs, tmp_path):
     assert store.version() == 1 and store.read().count() == docs.count()
 
 
+def test_sharding_keeps_old_versions_until_vacuum(spark, docs, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, "file://" + str(tmp_path / "v"), target=1 << 20, base=1 << 12, fanout=3)
+    for part in docs.randomSplit([1.0] * 4, seed=2):
+        store.append(part.coalesce(1), shard_rows=5)
+    before = store.version()
+    assert store.compact() > before
+    assert rows(store.read(before), "doc_id") == rows(store.read(), "doc_id") == rows(docs, "doc_id")
+    assert store.vacuum() > 0 and rows(store.read(), "doc_id") == rows(docs, "doc_id") and store.vacuum() == 0
+    # an append that another writer overtakes goes on from the new state
+    commit, overtaken = store.commit, []
+
+    def late(base, shards, schema):
+        if not overtaken:
+            overtaken.append(commit(base, base["shards"], schema))
+        return commit(base, shards, schema)
+
+    monkeypatch.setattr(store, "commit", late)
+    store.append(docs)
+    assert overtaken and store.read().count() == 2 * docs.count()
+
+
 def test_merge_plan():
     shards = [{"seq": k, "bytes": b} for k, b in enumerate([10, 12, 900, 11, 9, 40, 700])]
     groups = sharding.plan_merges(shards, 1000, 16, 4)
@@ -761,6 +789,27 @@ def test_bpe_awkward(spark, messy):
     assert bpe.encode_documents(empty(spark)).count() == 0
 
 
+def test_bpe_bytes_that_are_no_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(X'61FF6220' as string) as text union all select 2L, 'a b'")
+    assert rows(bpe.encode_documents(df), "doc_id", "exact") == [(1, False), (2, True)]
+    assert {r.doc_id for r in linededup.dedup_lines(df).collect()} == {1, 2}
+
+
+# ids ----------------------------------------------------------------------------------------------------------------
+
+
+def test_ids_of_any_type_and_names_with_dots(spark):
+    data = [(f"d{k}" if k else None, f"some words of text {k} and more of them") for k in range(30)]
+    df = spark.createDataFrame([(*d, len(d[1])) for d in data], "`the.id` string, text string, n_chars int")
+    marks = spark.createDataFrame([(f"d{k}", 1) for k in range(1, 20)], "`the.id` string, quality int")
+    ids = sorted((d[0] for d in data), key=repr)
+    assert [r[0] for r in rows(packing.pack_windows(df, "the.id", capacity=64), "doc_id")] == ids
+    assert [r[0] for r in rows(quality.quality_scores(df, marks, "the.id"), "doc_id")] == ids
+    assert quality.keep_quality(df, marks, "the.id").columns == df.columns
+    assert [r[0] for r in rows(lmscore.cross_parse_scores(df, "the.id"), "doc_id")] == ids
+    assert rows(linededup.dedup_lines(df, "the.id").select("`the.id`"), "`the.id`") == [(i,) for i in ids]
+
+
 # folders ------------------------------------------------------------------------------------------------------------
 
 
