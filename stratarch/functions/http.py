@@ -57,7 +57,8 @@ def status_code(block: Column | str) -> Column:
 
 def http_headers(block: Column | str) -> Column:
     """Header map with names in lower case and trimmed values; of repeated names the first counts. Null unless a header block is found."""
-    lines = F.slice(F.split(_head_text(block), "\r\n"), 2, 100_000)
+    lines = F.split(_head_text(block), "\r\n")
+    lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0)))
     named = F.filter(lines, lambda x: F.instr(x, ":") > 1)
     pairs = F.transform(named, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))

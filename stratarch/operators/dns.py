@@ -33,6 +33,14 @@ def usable_families(answers: DataFrame, disable_ipv4: bool = False, disable_ipv6
     return answers.where(~F.col("family").isin(*off)) if off else answers
 
 
+def literal_answers(hosts: DataFrame, disable_ipv4: bool = False, disable_ipv6: bool = False, host: str = "host") -> DataFrame:
+    """Adds ipv4, ipv6 and error: a host that is an address answers itself, one of a disabled family is an error; names
+    have nulls and are left to a lookup."""
+    kind, found = address_family(host), F.col(host)
+    error = F.when((kind == "ipv4") & F.lit(disable_ipv4), "IPv4 is disabled").when((kind == "ipv6") & F.lit(disable_ipv6), "IPv6 is disabled")
+    return hosts.withColumns({"ipv4": F.when((kind == "ipv4") & error.isNull(), found), "ipv6": F.when((kind == "ipv6") & error.isNull(), found), "error": error})
+
+
 def combine_answers(answers: DataFrame, at: str = "warc_date") -> DataFrame:
     """(host, ipv4, ipv6, error): of each family the earliest answer; an error only where neither has one."""
 

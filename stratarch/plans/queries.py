@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import bz2
+import gzip
+import lzma
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest as dg
 from ..functions import http, text
 from ..operators import capture, dedupe, dns, extract, folds, mend, verify
-from ..schema import RECORD_SCHEMA
 from ..scratch import scratch_path
-from ..sources.archive import read_archives, write_archives
+from ..sources.archive import file_sizes, read_archives, write_archives
+from ..sources.files import locate
 
 CR = "chr(13) || chr(10)"
 TYPES = ("text/html", "text/html; charset=utf-8", "application/pdf", "image/png")
@@ -177,17 +182,20 @@ def _cascaded(spark, sf_dir) -> DataFrame:
 
 
 def _cdx_index(spark, sf_dir) -> DataFrame:
-    """Index lines of every third document, some as revisits, some cut short, in several captures of a URL."""
-    c = _document_captures(spark, sf_dir).where(F.col("seq") % 3 == 0)
+    """Index lines of all documents, in several captures of a URL: some as revisits, some cut short, some of other payloads."""
+    c = _document_captures(spark, sf_dir)
+    of = F.when(F.col("seq") % 3 == 0, dg.digest_value("payload_digest")).otherwise(F.concat(F.lit("OTHER"), F.col("seq") % 3))
     line = F.concat_ws(
         " ", F.concat(F.lit("com,x)/"), F.col("seq")), text.format_ts14("warc_date"), "target_uri", F.when(F.col("seq") % 9 == 0, "warc/revisit").otherwise("text/html"),
-        F.lit("200"), dg.digest_value("payload_digest"), F.when(F.col("seq") % 15 != 0, F.col("size").cast("string")))
+        F.lit("200"), of, F.when(F.col("seq") % 15 != 0, F.col("size").cast("string")))
     return dedupe.parse_cdx(c.select(line.alias("value")))
 
 
 def _json_index(spark, sf_dir) -> DataFrame:
-    c = _document_captures(spark, sf_dir).where(F.col("seq") % 5 == 0)
-    reply = F.to_json(F.struct(F.col("record_id").alias("id"), F.col("target_uri").alias("uri"), text.format_ts14("warc_date").cast("long").alias("date")))
+    """Replies for all documents; four in five name another URL than that of the document."""
+    c = _document_captures(spark, sf_dir)
+    uri = F.when(F.col("seq") % 5 == 0, F.col("target_uri")).otherwise(F.concat("target_uri", F.lit("/moved")))
+    reply = F.to_json(F.struct(F.col("record_id").alias("id"), uri.alias("uri"), text.format_ts14("warc_date").cast("long").alias("date")))
     return dedupe.parse_json_index(c.select(F.col("payload_digest").alias("digest"), reply.alias("value")))
 
 
@@ -279,16 +287,16 @@ def verify_strict(spark, sf_dir):
 
 
 def _mend_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Eight records of a thousand bytes a file, with damage by the file's number."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 8).alias("n"), (F.col("page_id") % 8).alias("k"))
-    name = F.concat(F.lit("/a/f"), "n", F.when(F.col("n") % 5 == 4, ".warc").otherwise(".warc.gz"), F.when(F.col("n") % 2 == 0, ".open").otherwise(""))
+    """Eight records of a thousand bytes a file, with damage by the file's number; every seventh number has a file a page."""
+    n = F.floor(F.col("page_id") / 8)
+    p = table(spark, sf_dir, "pages").select("page_id", n.alias("n"), F.when(n % 7 == 3, 0).otherwise(F.col("page_id") % 8).alias("k"))
+    name = F.concat(F.lit("/a/f"), "n", F.when(F.col("n") % 7 == 3, F.concat(F.lit("-"), F.col("page_id") % 8)).otherwise(""), F.when(F.col("n") % 5 == 4, ".warc").otherwise(".warc.gz"), F.when(F.col("n") % 2 == 0, ".open").otherwise(""))
     p = p.withColumn("file", name)
     broken = (F.col("n") % 4 == 1) & (F.col("k") == 7)
-    bare = (F.col("n") % 7 == 3) & (F.col("k") > 0)
-    records = p.where(~bare).select(
+    records = p.select(
         "file", F.col("k").alias("record_index"), F.when(~broken, F.col("k") * 1000).alias("offset"), F.when(~broken, F.lit(1000)).alias("size"),
         F.when(~broken, F.when(F.col("k") == 0, "warcinfo").otherwise("response")).alias("warc_type"), F.when(broken, "gzip: invalid header").alias("error"))
-    ends = p.groupBy("file", "n").agg((F.max(F.when(F.col("n") % 7 == 3, 0).otherwise(F.col("k"))) * 1000 + 1000).alias("end"))
+    ends = p.groupBy("file", "n").agg((F.max("k") * 1000 + 1000).alias("end"))
     files = ends.select("file", (F.col("end") + F.when(F.col("n") % 3 == 0, 24).otherwise(0)).cast("long").alias("file_size"), (F.col("n") % 9 != 8).alias("is_gzip"))
     return records, files
 
@@ -367,11 +375,16 @@ def format_bytes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n).withColumn("shown", text.format_bytes("n"))
 
 
-def _scanned(spark, sf_dir, compression: str, **options) -> DataFrame:
+def _archives(spark, sf_dir, compression: str, **options) -> str:
+    """A folder with captures written as archives."""
     path = scratch_path(spark, f"archives-{compression}")
     records = capture.capture_records(captures(spark, sf_dir)).repartition(4, "batch_id").sortWithinPartitions("batch_id")
     write_archives(records, path, compression=compression, now="2024-01-01T00:00:00Z", hostname="host", **options)
-    return read_archives(spark, path)
+    return path
+
+
+def _scanned(spark, sf_dir, compression: str, **options) -> DataFrame:
+    return read_archives(spark, _archives(spark, sf_dir, compression, **options))
 
 
 def scan_gzip_roundtrip(spark, sf_dir):
@@ -418,8 +431,125 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def record_schema(spark, sf_dir):
-    """The record table's columns and types."""
-    return spark.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(RECORD_SCHEMA.fields)], "position long, name string, type string")
+    """The columns of a scan of written archives and their types."""
+    scanned = _scanned(spark, sf_dir, "none")
+    return spark.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(scanned.schema.fields)], "position long, name string, type string")
+
+
+def _changed_files(spark, source: str, target: str, change, suffix: str = "") -> None:
+    """Write change(bytes) of every file of a folder to another folder, one task a file."""
+
+    def run(it):
+        for batch in it:
+            for path in batch.column(0).to_pylist():
+                a, inner = locate(path)
+                b, folder = locate(target)
+                b.create_dir(folder, recursive=True)
+                with a.open_input_stream(inner, compression=None) as f, b.open_output_stream(f"{folder}/{inner.rsplit('/', 1)[1]}{suffix}", compression=None) as sink:
+                    sink.write(change(f.read()))
+            yield batch
+
+    files = file_sizes(spark, source).select("file")
+    files.repartition(max(1, files.count())).mapInArrow(run, "file string").count()
+
+
+def _repacked(spark, sf_dir, change, suffix: str) -> DataFrame:
+    """Responses of plain archives that another program has compressed, each as one stream."""
+    packed = scratch_path(spark, "packed")
+    _changed_files(spark, _archives(spark, sf_dir, "none"), packed, change, suffix)
+    return read_archives(spark, packed).where("warc_type = 'response'").select("target_uri", "content_length", dg.sha1("content").alias("digest"))
+
+
+def scan_bzip2(spark, sf_dir):
+    return _repacked(spark, sf_dir, bz2.compress, ".bz2")
+
+
+def scan_xz(spark, sf_dir):
+    return _repacked(spark, sf_dir, lzma.compress, ".xz")
+
+
+def scan_zstd_dictionary(spark, sf_dir):
+    """Archives compressed with a dictionary, which their readers take from the file's first frame."""
+    path = scratch_path(spark, "dictionary")
+    system, inner = locate(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    words = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: <!DOCTYPE html><html><head><title></title></head><body></body></html>"
+    with system.open_output_stream(inner) as f:
+        f.write(words)
+    r = _scanned(spark, sf_dir, "zstd", dictionary=path).where("warc_type = 'response'")
+    return r.select("target_uri", "content_length", dg.sha1("content").alias("digest"))
+
+
+def scan_headers_only(spark, sf_dir):
+    """A scan that skips contents still knows their lengths."""
+    r = read_archives(spark, _archives(spark, sf_dir, "gzip"), content=False).where("warc_type = 'response'")
+    return r.select("target_uri", "content_length", F.col("content").isNull().alias("bare"))
+
+
+def scan_offsets(spark, sf_dir):
+    """Places of members: each begins where the one before ends, and all of them make up the file."""
+    path = _archives(spark, sf_dir, "gzip")
+    r = read_archives(spark, path, content=False).select("file", "record_index", "offset", "size")
+    ahead = F.lead("offset").over(Window.partitionBy("file").orderBy("record_index"))
+    by = r.withColumn("in_a_row", F.coalesce(ahead == F.col("offset") + F.col("size"), F.lit(True))).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("in_a_row").alias("in_a_row"), F.sum("size").alias("bytes"))
+    return by.join(file_sizes(spark, path), "file").agg(
+        F.sum("n").alias("records"), F.min("in_a_row").alias("in_a_row"), F.min(F.col("bytes") == F.col("file_size")).alias("whole"))
+
+
+def payload_decoding(spark, sf_dir):
+    """Bodies sent compressed, in chunks, or both, are those of the pages once decoded."""
+
+    @F.arrow_udf("binary")
+    def squeezed(col: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else gzip.compress(x) for x in col.to_pylist()], pa.binary())
+
+    k, html = F.col("page_id") % 3, F.col("html").cast("binary")
+    body = F.when(k == 1, html).otherwise(squeezed(F.when(k != 1, html)))
+    p = table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
+    crlf = F.lit(b"\r\n")
+    chunks = F.concat(F.lower(F.hex(F.octet_length("body"))).cast("binary"), crlf, F.col("body"), F.lit(b"\r\n0\r\n\r\n"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), F.when(k != 1, "Content-Encoding: gzip\r\n").otherwise(""), F.when(k != 0, "Transfer-Encoding: chunked\r\n").otherwise(""), F.lit("\r\n"))
+    blocks = p.select("page_id", F.concat(head.cast("binary"), F.when(k != 0, chunks).otherwise(F.col("body"))).alias("block"))
+    return http.with_payload(blocks, "block", "payload", decode=True).select("page_id", dg.sha1("payload").alias("digest"))
+
+
+def extract_files(spark, sf_dir):
+    """Payloads written as files, read back by name."""
+    folder = scratch_path(spark, "payloads")
+    extract.write_payloads(extract.extract_plan(_extracted(spark, sf_dir)), folder, hash_suffix=True).count()
+
+    @F.arrow_udf("binary")
+    def read(col: pa.Array) -> pa.Array:
+        out = []
+        for path in col.to_pylist():
+            system, inner = locate(path)
+            with system.open_input_stream(inner, compression=None) as f:
+                out.append(f.read())
+        return pa.array(out, pa.binary())
+
+    return file_sizes(spark, folder).select(F.regexp_extract("file", "([^/]*)$", 1).alias("out_name"), dg.sha1(read("file")).alias("payload_sha1"))
+
+
+def mend_files(spark, sf_dir):
+    """Unfinished archives with bytes of no record at their ends: planned, repaired and verified."""
+    damaged = scratch_path(spark, "damaged")
+    _changed_files(spark, _archives(spark, sf_dir, "gzip", keepOpen=True), damaged, lambda x: x + b"no gzip member at all...")
+    plan = mend.plan_files(spark, damaged).persist()
+    mended = len(mend.apply_plan(plan, dry_run=False))
+    plan.unpersist()
+    out = verify.verify_files(read_archives(spark, damaged, includeOpen=False))
+    return out.agg(
+        F.sum("record_count").cast("long").alias("records"), F.sum("errors_count").cast("long").alias("errors"), F.min("valid").alias("valid"),
+        F.lit(mended).cast("long").alias("mended"))
+
+
+def dns_literals(spark, sf_dir):
+    """Hosts that are addresses need no lookup, unless their family is switched off; names are left to it."""
+    e = table(spark, sf_dir, "events")
+    v4, v6 = F.concat(F.lit("192.0.2."), F.col("event_id") % 250), F.concat(F.lit("2001:db8::"), F.col("event_id") % 250)
+    host = F.when(F.col("event_id") % 3 == 0, v4).when(F.col("event_id") % 3 == 1, v6).otherwise(F.concat(F.lit("h"), "event_id", F.lit(".example")))
+    return dns.literal_answers(e.select("event_id", host.alias("host")), disable_ipv6=True).select("event_id", "host", "ipv4", "ipv6", "error")
 
 
 _DOCS = f"""SELECT doc_id AS seq, doc_id::VARCHAR AS record_id, 'http://' || source || '/' || (doc_id % 100) AS target_uri,
@@ -429,9 +559,11 @@ _LOCAL = """marked AS (SELECT *, CASE WHEN d IS NOT NULL AND size >= {t} AND cou
 kept AS (SELECT *, last_value(CASE WHEN rev = 0 THEN seq END IGNORE NULLS) OVER (PARTITION BY d ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS oid FROM marked)"""
 _LOCAL_2048 = _LOCAL.format(t=2048)
 _CDX = """cdx AS (SELECT target_uri AS original, strftime(make_timestamp(tm * 1000000), '%Y%m%d%H%M%S') AS ts14, tm, CASE WHEN seq % 9 = 0 THEN 'warc/revisit' ELSE 'text/html' END AS mime,
-    substr(d, 6) AS digest, CASE WHEN seq % 15 <> 0 THEN size::VARCHAR END AS length, CASE WHEN seq % 15 <> 0 THEN 7 ELSE 6 END AS fields FROM c WHERE seq % 3 = 0)"""
+    CASE WHEN seq % 3 = 0 THEN substr(d, 6) ELSE 'OTHER' || (seq % 3) END AS digest, CASE WHEN seq % 15 <> 0 THEN size::VARCHAR END AS length,
+    CASE WHEN seq % 15 <> 0 THEN 7 ELSE 6 END AS fields FROM c)"""
 _LATEST = """latest AS (SELECT * FROM cdx QUALIFY row_number() OVER (PARTITION BY original ORDER BY ts14 DESC, digest DESC) = 1)"""
-_JSON = """jx AS (SELECT d, target_uri AS uri, record_id AS id FROM c WHERE seq % 5 = 0 QUALIFY row_number() OVER (PARTITION BY d, target_uri ORDER BY tm DESC) = 1)"""
+_JSON = """jx AS (SELECT d, uri, record_id AS id FROM (SELECT *, CASE WHEN seq % 5 = 0 THEN target_uri ELSE target_uri || '/moved' END AS uri FROM c)
+    QUALIFY row_number() OVER (PARTITION BY d, uri ORDER BY tm DESC) = 1)"""
 _CASCADE = f"""WITH c AS ({_DOCS}), {_LOCAL_2048}, {_CDX}, {_LATEST}, {_JSON},
 joined AS (SELECT k.seq, k.size, o.seq AS l_seq, o.size AS l_size, o.target_uri AS l_uri, jx.id AS j_id, jx.uri AS j_uri,
     CASE WHEN latest.fields >= 7 AND latest.mime <> 'warc/revisit' AND latest.digest = substr(k.d, 6) THEN latest.original END AS c_uri
@@ -443,12 +575,12 @@ _NAMES = f"""x AS (SELECT page_id, html, url, regexp_replace(url, '/+$', '') AS
 named AS (SELECT page_id, {_sha1('html')} AS payload_sha1, replace(CASE WHEN page_id % 4 = 0 THEN 'page-' || (page_id % 10) || '.html'
     WHEN page_id % 4 = 1 AND regexp_extract(u, '([^/]*)$', 1) NOT LIKE '%.pdf' THEN regexp_extract(u, '([^/]*)$', 1) || '.pdf' ELSE regexp_extract(u, '([^/]*)$', 1) END, '/', '_') AS name,
     'part-' || (page_id % 7) AS file FROM x WHERE ct LIKE '%html%' OR ct LIKE '%pdf%')"""
-_MEND = """p AS (SELECT page_id // 8 AS n, page_id % 8 AS k FROM pages),
-q AS (SELECT *, '/a/f' || n || CASE WHEN n % 5 = 4 THEN '.warc' ELSE '.warc.gz' END || CASE WHEN n % 2 = 0 THEN '.open' ELSE '' END AS file,
+_MEND = """p AS (SELECT page_id // 8 AS n, page_id % 8 AS slot, CASE WHEN (page_id // 8) % 7 = 3 THEN 0 ELSE page_id % 8 END AS k FROM pages),
+q AS (SELECT *, '/a/f' || n || CASE WHEN n % 7 = 3 THEN '-' || slot ELSE '' END || CASE WHEN n % 5 = 4 THEN '.warc' ELSE '.warc.gz' END || CASE WHEN n % 2 = 0 THEN '.open' ELSE '' END AS file,
     CASE WHEN n % 4 = 1 AND k = 7 THEN 1 ELSE 0 END AS broken FROM p),
-f AS (SELECT file, n, max(CASE WHEN n % 7 = 3 THEN 0 ELSE k END) * 1000 + 1000 + max(CASE WHEN n % 3 = 0 THEN 24 ELSE 0 END) AS bytes,
-    count(*) FILTER (WHERE broken = 0 AND NOT (n % 7 = 3 AND k > 0)) AS recs, max((k + 1) * 1000) FILTER (WHERE broken = 0 AND NOT (n % 7 = 3 AND k > 0)) AS last,
-    min(k) FILTER (WHERE broken = 0 AND NOT (n % 7 = 3 AND k > 0)) AS firstk, max(CASE WHEN broken = 1 AND NOT (n % 7 = 3 AND k > 0) THEN 'gzip: invalid header' END) AS msg FROM q GROUP BY file, n),
+f AS (SELECT file, n, max(k) * 1000 + 1000 + max(CASE WHEN n % 3 = 0 THEN 24 ELSE 0 END) AS bytes,
+    count(*) FILTER (WHERE broken = 0) AS recs, max((k + 1) * 1000) FILTER (WHERE broken = 0) AS last,
+    min(k) FILTER (WHERE broken = 0) AS firstk, max(CASE WHEN broken = 1 THEN 'gzip: invalid header' END) AS msg FROM q GROUP BY file, n),
 e AS (SELECT *, (n % 9 <> 8 AND (lower(file) LIKE '%.gz.open' OR lower(file) LIKE '%.gz')) AS ok FROM f),
 g AS (SELECT file, ok, CASE WHEN ok THEN bytes ELSE 0 END AS file_size, CASE WHEN ok THEN coalesce(recs, 0) ELSE 0 END AS record_count,
     CASE WHEN ok AND firstk IS NOT NULL THEN CASE WHEN firstk = 0 THEN 'warcinfo' ELSE 'response' END END AS first_record_type,
@@ -546,7 +678,22 @@ CASE WHEN count(address) = 0 THEN 'no address' END AS error FROM a GROUP BY host
     "scan_totals": f"""SELECT 'response' AS warc_type, count(*) AS records, sum(octet_length(encode({_SQL_RESPONSE})))::BIGINT AS bytes FROM pages
 UNION ALL SELECT 'request', count(*), sum(octet_length(encode('GET ' || {_SQL_TARGET} || ' HTTP/1.1' || {CR} || 'Host: ' || {_SQL_HOST} || {CR} || {CR})))::BIGINT FROM pages""",
     "verify_written": "SELECT count(*) * 2 + 4 AS records, 0::BIGINT AS errors, true AS valid FROM pages",
-    "record_schema": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{f.name}', '{f.dataType.simpleString()}')" for k, f in enumerate(RECORD_SCHEMA.fields)) + ") t(position, name, type)",
+    "record_schema": """SELECT * FROM (VALUES (0::BIGINT, 'file', 'string'), (1, 'record_index', 'bigint'), (2, 'offset', 'bigint'), (3, 'size', 'bigint'), (4, 'version', 'string'),
+(5, 'headers', 'map<string,string>'), (6, 'warc_type', 'string'), (7, 'record_id', 'string'), (8, 'warc_date_raw', 'string'), (9, 'target_uri', 'string'), (10, 'content_type', 'string'),
+(11, 'block_digest', 'string'), (12, 'payload_digest', 'string'), (13, 'refers_to', 'string'), (14, 'concurrent_to', 'string'), (15, 'warcinfo_id', 'string'), (16, 'warc_date', 'timestamp'),
+(17, 'content_length', 'bigint'), (18, 'content', 'binary'), (19, 'error', 'string')) t(position, name, type)""",
+    "dns_literals": """WITH h AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '192.0.2.' || (event_id % 250) WHEN 1 THEN '2001:db8::' || (event_id % 250) ELSE 'h' || event_id || '.example' END AS host FROM events)
+SELECT event_id, host, CASE WHEN event_id % 3 = 0 THEN host END AS ipv4, NULL::VARCHAR AS ipv6, CASE WHEN event_id % 3 = 1 THEN 'IPv6 is disabled' END AS error FROM h""",
+    **{f"scan_{k}": f"SELECT {_SQL_URI} AS target_uri, octet_length(encode(b))::BIGINT AS content_length, {_sha1('b')} AS digest FROM (SELECT *, {_SQL_RESPONSE} AS b FROM pages)"
+       for k in ("bzip2", "xz", "zstd_dictionary")},
+    "scan_headers_only": f"SELECT {_SQL_URI} AS target_uri, octet_length(encode(b))::BIGINT AS content_length, true AS bare FROM (SELECT *, {_SQL_RESPONSE} AS b FROM pages)",
+    "scan_offsets": "SELECT count(*) * 2 + 4 AS records, true AS in_a_row, true AS whole FROM pages",
+    "payload_decoding": f"SELECT page_id, {_sha1('html')} AS digest FROM pages",
+    "extract_files": f"""WITH {_NAMES}, o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file, page_id) AS k, first_value(payload_sha1) OVER (PARTITION BY name ORDER BY file, page_id) AS f,
+row_number() OVER (PARTITION BY name, payload_sha1 ORDER BY file, page_id) AS t, regexp_extract(name, '([.][^./]*)$', 1) AS ext FROM named),
+p AS (SELECT CASE WHEN k = 1 THEN name WHEN payload_sha1 <> f AND t = 1 THEN substr(name, 1, length(name) - length(ext)) || '[' || substr(payload_sha1, 27) || ']' || ext END AS out_name, payload_sha1 FROM o)
+SELECT out_name, payload_sha1 FROM p WHERE out_name IS NOT NULL""",
+    "mend_files": "SELECT count(*) * 2 + 4 AS records, 0::BIGINT AS errors, true AS valid, 4::BIGINT AS mended FROM pages",
 }
 
 QUERIES = {
@@ -556,6 +703,7 @@ QUERIES = {
         header_map, local_dedupe, dedupe_cascade, dedupe_counters, cdx_latest, cdx_dedupe, cdx_as_of, json_dedupe, empty_payload_excluded, revisit_truncate, pairing,
         conversation_pairs, discard_hook, known_payloads, verify_rollup, verify_strict, mend_plan, mend_summary, extract_report, extract_names, host_partition, rotation,
         serials, round_robin, ttl_cache, singleflight, dns_answers, format_bytes, scan_gzip_roundtrip, scan_zstd_roundtrip, scan_totals, verify_written, stream_dedupe, record_schema,
+        scan_bzip2, scan_xz, scan_zstd_dictionary, scan_headers_only, scan_offsets, payload_decoding, extract_files, mend_files, dns_literals,
     )
 }
 

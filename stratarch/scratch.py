@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir; below a temporary folder only in local mode where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="stratarch-"))
             atexit.register(shutil.rmtree, _own[0], True)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import socket
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
@@ -212,13 +215,14 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Every task writes files of its own, `.open` until the job commits, then renamed; an aborted job leaves none."""
+    """Every task writes files of its own, `.open` until the job commits, then renamed. Names bear the job, so what failed
+    or speculative attempts have left is known and deleted at the end, and so is everything of an aborted job."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
         path = options.get("path")
         if not path:
             raise ValueError("save() needs a path")
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex[:8]
         self.names = [f.name for f in schema.fields]
         self.prefix = options.get("prefix", "WARC")
         self.compression = options.get("compression", "gzip").lower()
@@ -226,6 +230,7 @@ class ArchiveWriter(DataSourceWriter):
         self.algorithm = options.get("digest", "sha1")
         self.host = options.get("hostname") or socket.gethostname()
         self.software = options.get("software", "stratarch")
+        self.info = {str(k): str(v) for k, v in json.loads(options.get("info", "{}")).items()}
         self.now = options.get("now")
         self.keep_open = _flag(options, "keepopen", False)
         self.level = int(options["level"]) if "level" in options else None
@@ -261,15 +266,20 @@ class ArchiveWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         system, base = locate(self.path)
-        for m in messages:
-            for name in m.files if m is not None and not self.keep_open else []:
-                system.move(f"{base}/{name}", f"{base}/{name.removesuffix('.open')}")
+        ours = {name for m in messages if m is not None for name in m.files}
+        self._drop(system, base, ours)
+        if not self.keep_open:
+            with ThreadPoolExecutor(16) as pool:  # a store's renames are slow one by one
+                list(pool.map(lambda name: system.move(f"{base}/{name}", f"{base}/{name.removesuffix('.open')}"), sorted(ours)))
 
     def abort(self, messages) -> None:
-        system, base = locate(self.path)
-        for m in messages:
-            for name in m.files if m is not None else []:
-                system.delete_file(f"{base}/{name}")
+        self._drop(*locate(self.path), set())
+
+    def _drop(self, system: fs.FileSystem, base: str, but: set[str]) -> None:
+        """Delete the job's open files that no committed attempt has named."""
+        for i in system.get_file_info(fs.FileSelector(base)):
+            if i.base_name.endswith(".open") and f"-{self.job}x" in i.base_name and i.base_name not in but:
+                system.delete_file(i.path)
 
 
 class _Files:
@@ -280,7 +290,7 @@ class _Files:
 
         task = TaskContext.get()
         # a retried or speculative attempt writes names of its own; only the committed attempt's are renamed
-        self.tag = f"{task.partitionId():05d}x{task.taskAttemptId()}" if task else uuid.uuid4().hex[:8]
+        self.tag = f"{w.job}x{task.partitionId():05d}x{task.taskAttemptId()}" if task else f"{w.job}x{uuid.uuid4().hex[:8]}"
         self.w, self.encoder = w, codec.Encoder(w.compression, w.dictionary, w.level)
         self.system, self.base = locate(w.path)
         self.files: list[str] = []
@@ -303,7 +313,7 @@ class _Files:
         self.size = len(self.encoder.head)
         block = "".join(f"{k}: {v}\r\n" for k, v in sorted({
             "software": self.w.software, "hostname": self.w.host, "format": "WARC file version 1.1",
-            "conformsTo": "http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/"}.items())).encode()
+            "conformsTo": "http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/", **self.w.info}.items())).encode()
         self.info_id = _urn(name)
         self._put(self._filled({
             "WARC-Type": "warcinfo", "Content-Type": "application/warc-fields", "WARC-Record-ID": self.info_id,
@@ -315,10 +325,12 @@ class _Files:
         for name, value in (("WARC-Type", lambda: "resource"), ("WARC-Record-ID", lambda: f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", lambda: _stamp(self.w._now()))):
             if name.lower() not in low:
                 h[name] = value()
-        for k in [k for k in h if k.lower() in ("content-length", "warc-block-digest")]:
+        # a given digest is kept; the length is always that of the content, or the file could not be read again
+        for k in [k for k in h if k.lower() == "content-length" or k.lower() == "warc-block-digest" and not h[k]]:
             del h[k]
         h["Content-Length"] = str(len(content))
-        h["WARC-Block-Digest"] = block_digest(content, self.w.algorithm)
+        if "warc-block-digest" not in {k.lower() for k in h}:
+            h["WARC-Block-Digest"] = block_digest(content, self.w.algorithm)
         return h
 
     def batch(self, rows: list[dict]) -> None:
@@ -386,7 +398,8 @@ class WebArchive(DataSource):
     Read options: content (true), maxContentBytes, multiRecordMember (first | error), includeOpen (true),
     maxPartitionBytes (small files share a task), splitBytes (gzip files above it are cut at member borders; their
     record_index then ascends in file order but has gaps).
-    Write options: prefix, compression (gzip | zstd | none), maxFileMb, digest, dictionary, hostname, level, now, keepOpen.
+    Write options: prefix, compression (gzip | zstd | none), maxFileMb, digest, dictionary, hostname, level, now, keepOpen,
+    software, info (a JSON object of more fields for the information records).
     """
 
     @classmethod
