@@ -33,6 +33,16 @@ def capture_records(captures: DataFrame, algorithm: str = "sha1") -> DataFrame:
     return out.withColumns({"content_type": kind, "headers": headers}).drop("ip")
 
 
+def new_records(rows: DataFrame, content: str = "content", headers: dict[str, Column | str] | None = None, batch: str | None = None) -> DataFrame:
+    """Records made of any rows: `content` is the block, `headers` names header columns, rows of one `batch` stay together.
+
+    What isn't given (type, id, date, length, digest) is filled in by the writer.
+    """
+    given = [x for k, c in (headers or {}).items() for x in (F.lit(k), (F.col(c) if isinstance(c, str) else c).cast("string"))]
+    made = F.map_filter(F.create_map(*given), lambda _, v: v.isNotNull()) if given else F.create_map().cast("map<string,string>")
+    return rows.select(*([F.col(batch).alias("batch_id")] if batch else []), made.alias("headers"), F.col(content).cast("binary").alias("content"))
+
+
 def pair_records(records: DataFrame) -> DataFrame:
     """(response_id, request_id, target_uri, response_type) of responses or revisits and the requests they name."""
     left = records.where(F.col("warc_type").isin("response", "revisit")).select(

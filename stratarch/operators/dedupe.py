@@ -21,25 +21,28 @@ def local_revisits(
     `original_size`.
 
     In the order of `order`, a capture of at least `threshold` bytes is a revisit if its payload was captured before;
-    it refers to the latest earlier capture that is no revisit itself, of whatever size. Empty payloads and null
-    digests repeat nothing and are repeated by nothing.
+    it refers to the latest earlier capture that is no revisit itself, of whatever size. Captures that are equal in order
+    aren't earlier than one another. Empty payloads and null digests repeat nothing and are repeated by nothing.
 
-    One shuffle on the digest, of the columns of `captures`: leave content out and join it back if it is needed.
+    A frequent payload makes no skew: its first capture is found by a partial aggregate and joined back, and where all its
+    captures are on one side of the threshold, as equal payloads mostly are, the first is what all others refer to. Only
+    payloads with captures on both sides are put in order. Leave content out and join it back if it is needed.
     """
-    alone = is_empty_payload(digest) | F.col(digest).isNull()
-    # captures that don't take part form groups of their own, so the commonest digest, that of nothing, makes no skew
-    w = Window.partitionBy(F.col(digest), F.when(alone, F.xxhash64(*order))).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    revisit = ~alone & (F.col(size) >= threshold) & (F.count(F.lit(1)).over(before) > 0)
-    marked = captures.withColumn("__revisit", F.coalesce(revisit, F.lit(False)))
-    kept = F.when(~F.col("__revisit"), F.struct(*refers, F.col(size).alias("__size")))
-    last = F.when(F.col("__revisit"), F.last(kept, ignorenulls=True).over(before))
-    out = marked.withColumn("__last", last)
+    alone = F.coalesce(is_empty_payload(digest), F.lit(False)) | F.col(digest).isNull()
+    at, large = F.struct(*order), F.col(size) >= threshold
+    of = F.struct(*(F.col(c).alias(f"r{k}") for k, c in enumerate(refers)), F.col(size).alias("size"))
+    first = captures.where(~alone).groupBy(F.col(digest).alias("__digest")).agg(
+        F.min(at).alias("__at"), F.min_by(of, at).alias("__first"), F.count(F.lit(1)).alias("__n"), (F.bool_or(large) & F.bool_or(~large)).alias("__mixed")).where("__n > 1")
+    marked = captures.join(first, F.col(digest) == F.col("__digest"), "left").withColumn("__revisit", F.coalesce(large & (at > F.col("__at")), F.lit(False)))
+    # captures of all other payloads form groups of their own
+    w = Window.partitionBy(F.col("__digest"), F.when(~F.coalesce("__mixed", F.lit(False)), F.xxhash64(*order))).orderBy(*order)
+    last = F.last(F.when(~F.col("__revisit"), of), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = marked.withColumn("__last", F.when(F.col("__revisit"), F.when(F.col("__mixed"), last).otherwise(F.col("__first"))))
     return out.withColumns({
         "warc_type": F.when(F.col("__revisit"), "revisit").otherwise("response"),
-        "original": F.when(F.col("__revisit"), F.struct(*(F.col("__last")[c].alias(c) for c in refers))),
-        "original_size": F.col("__last")["__size"],
-    }).drop("__revisit", "__last")
+        "original": F.when(F.col("__revisit"), F.struct(*(F.col("__last")[f"r{k}"].alias(c) for k, c in enumerate(refers)))),
+        "original_size": F.col("__last")["size"],
+    }).drop("__digest", "__at", "__first", "__n", "__mixed", "__revisit", "__last")
 
 
 def parse_cdx(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -55,6 +55,11 @@ def verify_rollup(verified: DataFrame) -> DataFrame:
     return out.select("file", (F.col("errors_count") == 0).alias("valid"), "record_count", "errors_count", "all_records_read")
 
 
+def error_rows(records: DataFrame) -> DataFrame:
+    """(file, record_index, offset, error) where a file breaks: what a sink of its own keeps of a scan."""
+    return records.where(F.col("error").isNotNull()).select("file", "record_index", "offset", "error")
+
+
 def verify_files(records: DataFrame, strict: bool = False) -> DataFrame:
     """verify_records and verify_rollup in one. Files without records give no row."""
     return verify_rollup(verify_records(records, strict))

@@ -14,7 +14,7 @@ from ..functions import digest as dg
 from ..functions import http, text
 from ..operators import capture, dedupe, dns, extract, folds, mend, verify
 from ..scratch import scratch_path
-from ..sources.archive import file_sizes, read_archives, write_archives
+from ..sources.archive import file_sizes, read_archives, register_functions, write_archives
 from ..sources.files import locate
 
 CR = "chr(13) || chr(10)"
@@ -384,7 +384,8 @@ def _archives(spark, sf_dir, compression: str, **options) -> str:
 
 
 def _scanned(spark, sf_dir, compression: str, **options) -> DataFrame:
-    return read_archives(spark, _archives(spark, sf_dir, compression, **options))
+    """A scan of written archives, for plans that read it once."""
+    return read_archives(spark, _archives(spark, sf_dir, compression, **options), pushFilters=True)
 
 
 def scan_gzip_roundtrip(spark, sf_dir):
@@ -544,6 +545,29 @@ def mend_files(spark, sf_dir):
         F.lit(mended).cast("long").alias("mended"))
 
 
+def bytes_to_records(spark, sf_dir):
+    """Files as values, split into records by the table function."""
+    path = _archives(spark, sf_dir, "gzip")
+    register_functions(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))
+    r = spark.sql("SELECT r.* FROM {files} f, LATERAL archive_records(f.path, f.data) r WHERE r.warc_type = 'response'", files=files)
+    return r.select("target_uri", "content_length", dg.sha1("content").alias("digest"))
+
+
+def new_records(spark, sf_dir):
+    """Records made of pages with nothing but a URL and a digest of the caller's own: the writer fills in the rest."""
+    p = table(spark, sf_dir, "pages").withColumn("own", F.when(F.col("page_id") % 2 == 0, F.lit("sha1:GIVENBYTHECALLER")))
+    path = scratch_path(spark, "made")
+    write_archives(capture.new_records(p, "html", {"WARC-Target-URI": "url", "WARC-Block-Digest": "own"}), path, now="2024-01-01T00:00:00Z", info='{"operator": "someone"}')
+    r = read_archives(spark, path)
+    told = r.where("warc_type = 'warcinfo'").agg(F.min(F.decode("content", "UTF-8").contains("operator: someone")).alias("told"))
+    return r.where("warc_type = 'resource'").select("target_uri", F.col("warc_date_raw").alias("at"), "content_length", F.col("block_digest").alias("digest")).join(F.broadcast(told))
+
+
+def error_rows(spark, sf_dir):
+    return verify.error_rows(page_records(spark, sf_dir)).select("file", "record_index", "error")
+
+
 def dns_literals(spark, sf_dir):
     """Hosts that are addresses need no lookup, unless their family is switched off; names are left to it."""
     e = table(spark, sf_dir, "events")
@@ -686,6 +710,10 @@ UNION ALL SELECT 'request', count(*), sum(octet_length(encode('GET ' || {_SQL_TA
 SELECT event_id, host, CASE WHEN event_id % 3 = 0 THEN host END AS ipv4, NULL::VARCHAR AS ipv6, CASE WHEN event_id % 3 = 1 THEN 'IPv6 is disabled' END AS error FROM h""",
     **{f"scan_{k}": f"SELECT {_SQL_URI} AS target_uri, octet_length(encode(b))::BIGINT AS content_length, {_sha1('b')} AS digest FROM (SELECT *, {_SQL_RESPONSE} AS b FROM pages)"
        for k in ("bzip2", "xz", "zstd_dictionary")},
+    "bytes_to_records": f"SELECT {_SQL_URI} AS target_uri, octet_length(encode(b))::BIGINT AS content_length, {_sha1('b')} AS digest FROM (SELECT *, {_SQL_RESPONSE} AS b FROM pages)",
+    "new_records": f"""SELECT url AS target_uri, '2024-01-01T00:00:00Z' AS at, octet_length(encode(html))::BIGINT AS content_length,
+CASE WHEN page_id % 2 = 0 THEN 'sha1:GIVENBYTHECALLER' ELSE {_sha1('html')} END AS digest, true AS told FROM pages""",
+    "error_rows": "SELECT 'part-' || (page_id % 7) || '.warc.gz' AS file, page_id AS record_index, 'copying content: EOF' AS error FROM pages WHERE page_id % 97 = 41",
     "scan_headers_only": f"SELECT {_SQL_URI} AS target_uri, octet_length(encode(b))::BIGINT AS content_length, true AS bare FROM (SELECT *, {_SQL_RESPONSE} AS b FROM pages)",
     "scan_offsets": "SELECT count(*) * 2 + 4 AS records, true AS in_a_row, true AS whole FROM pages",
     "payload_decoding": f"SELECT page_id, {_sha1('html')} AS digest FROM pages",
@@ -704,6 +732,7 @@ QUERIES = {
         conversation_pairs, discard_hook, known_payloads, verify_rollup, verify_strict, mend_plan, mend_summary, extract_report, extract_names, host_partition, rotation,
         serials, round_robin, ttl_cache, singleflight, dns_answers, format_bytes, scan_gzip_roundtrip, scan_zstd_roundtrip, scan_totals, verify_written, stream_dedupe, record_schema,
         scan_bzip2, scan_xz, scan_zstd_dictionary, scan_headers_only, scan_offsets, payload_decoding, extract_files, mend_files, dns_literals,
+        bytes_to_records, new_records, error_rows,
     )
 }
 

@@ -110,10 +110,13 @@ class ArchiveReader(DataSourceReader):
         self.content = _flag(options, "content", True)
         self.strict = str(options.get("multirecordmember", "first")) == "error"
         self.most = int(options["maxcontentbytes"]) if "maxcontentbytes" in options else None
+        self.push = _flag(options, "pushfilters", False)
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
-        self.filters = [f for f in filters if _pushable(f)]
+        """Only on request: Spark keeps one reader for a relation, so where one plan filters it twice, as in a join with
+        itself, the last filter would hold for both."""
+        self.filters = [f for f in filters if self.push and _pushable(f)]
         # a damaged file's last row has no headers and must reach Spark's own filter, so all are applied there again
         return filters
 
@@ -396,6 +399,7 @@ class WebArchive(DataSource):
     """spark.read.format("webarchive").load(path), df.write.format("webarchive").mode("append").save(path).
 
     Read options: content (true), maxContentBytes, multiRecordMember (first | error), includeOpen (true),
+    pushFilters (false; rejected records are then skipped without their contents; for a relation that a plan reads once),
     maxPartitionBytes (small files share a task), splitBytes (gzip files above it are cut at member borders; their
     record_index then ascends in file order but has gaps).
     Write options: prefix, compression (gzip | zstd | none), maxFileMb, digest, dictionary, hostname, level, now, keepOpen,
@@ -469,9 +473,23 @@ def read_archives_stream(spark: SparkSession, folder: str, files_per_trigger: in
     return decode_files(files.where(~F.col("path").endswith(".open")), content)
 
 
+def register_functions(spark: SparkSession) -> None:
+    """The table function archive_records(path, bytes) in SQL: the records of a file that is a value, for lateral joins."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=RECORD_SCHEMA)
+    class Records:
+        def eval(self, path: str, data: bytes):
+            for r in codec.records(codec.open_bytes(data or b""), True):
+                row = to_batch([r], path).to_pylist()[0]
+                yield tuple(dict(v) if k == "headers" and v is not None else v for k, v in row.items())
+
+    spark.udtf.register("archive_records", Records)
+
+
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_size) for every file of a path."""
     return spark.createDataFrame(listing(path, True), "file string, file_size long")
 
 
-__all__ = ["FORMAT", "ArchiveReader", "ArchiveWriter", "WebArchive", "decode_files", "file_sizes", "read_archives", "read_archives_stream", "register", "write_archives"]
+__all__ = ["FORMAT", "ArchiveReader", "ArchiveWriter", "WebArchive", "decode_files", "file_sizes", "read_archives", "read_archives_stream", "register", "register_functions", "write_archives"]

@@ -119,6 +119,14 @@ def archive_stream(records: DataFrame, folder: str, checkpoint: str, then: Calla
     return records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
+def in_flight(query) -> int:
+    """Rows that a running stream has taken in and not yet published: those of the trigger under way."""
+    progress = query.lastProgress
+    if progress is None or not query.status["isTriggerActive"]:
+        return 0
+    return int(progress["numInputRows"])
+
+
 def with_watermark(df: DataFrame, at: str, delay: str) -> DataFrame:
     """Event-time bound for late rows; `at` without a zone is taken as UTC."""
     return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)

@@ -231,3 +231,40 @@ def test_revisits_are_truncated_and_discarded(spark):
     kept, gone = dedupe.discard(df, F.struct(F.lit(True).alias("drop"), F.lit("429").alias("reason")))
     assert kept.count() == 0 and gone.first().asDict() == {"target_uri": "u", "reason": "429"}
     assert file_sizes(spark, __file__).first().file_size == os.path.getsize(__file__)
+
+
+def test_one_scan_filtered_twice_in_a_plan(spark, tmp_path):
+    """Filters of two uses of a relation don't mix; pushed down on request, one use skips contents."""
+    from stratarch.operators import capture
+    from stratarch.sources.archive import read_archives, write_archives
+
+    rows = spark.createDataFrame([(k, f"http://x/{k}", "body" * 9) for k in range(5)], "k long, url string, content string")
+    write_archives(capture.new_records(rows, "content", {"WARC-Target-URI": "url"}).coalesce(1), str(tmp_path / "w"))
+    r = read_archives(spark, str(tmp_path / "w"))
+    infos, made = r.where("warc_type = 'warcinfo'"), r.where("warc_type = 'resource'")
+    assert infos.select("file").unionByName(made.select("file")).count() == 6
+    assert infos.select("file").join(made.select("file", "target_uri"), "file").count() == 5
+    once = read_archives(spark, str(tmp_path / "w"), pushFilters=True).where("warc_type = 'resource'")
+    assert once.count() == 5
+
+
+def test_failed_attempts_leave_no_open_files(spark, tmp_path):
+    """A task that dies once has left an open file; the retry's files are published and the rest is gone."""
+    from stratarch.sources.archive import ArchiveWriter, Written, write_archives
+
+    folder = tmp_path / "w"
+    writer = ArchiveWriter({"path": str(folder)}, spark.createDataFrame([], "content binary").schema, False)
+    for name in ("lost", "kept"):
+        (folder / f"WARC-1-00001-h-{writer.job}x{name}.warc.gz.open").write_bytes(b"")
+    (folder / "WARC-1-00001-h-otherjobx0.warc.gz.open").write_bytes(b"")
+    writer.commit([Written([f"WARC-1-00001-h-{writer.job}xkept.warc.gz.open"], 0, 0), None])
+    assert sorted(p.name for p in folder.iterdir()) == sorted([f"WARC-1-00001-h-{writer.job}xkept.warc.gz", "WARC-1-00001-h-otherjobx0.warc.gz.open"])
+
+    def broken(it):
+        yield from it
+        raise RuntimeError("no")
+
+    rows = spark.createDataFrame([(b"x",)], "content binary").coalesce(1).mapInArrow(broken, "content binary")
+    with pytest.raises(Exception):
+        write_archives(rows, str(folder / "2"))
+    assert not list((folder / "2").iterdir())
