@@ -203,7 +203,7 @@ def _element_rows(n: int):
 
 
 #: Pairs that _pairs_of_runs holds at a time.
-HELD = 1 << 21
+HELD = 1 << 19
 
 
 def _pairs_of_runs(threshold: float):
@@ -370,6 +370,8 @@ def _meet(candidates: DataFrame, sets: DataFrame, parts: list[str], check, schem
     return out
 
 
+#: Sets form a class up to this share of the threshold: groups that are nearly similar also cost no pairs outside it.
+LOOSE = 0.75
 #: Elements (columns) of a block that are multiplied at a time.
 COLUMNS = 4096
 
@@ -467,7 +469,7 @@ class Similar:
         stars = banded.join(first, "band").where("a != sid").groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
         stars, stars_path = materialize(stars, "stars")
         sketched = known.select("sid", "size", "sketch")
-        edges = _meet(stars, sketched, ["size", "sketch"], _far_apart(threshold), "a long, b long", "edges")
+        edges = _meet(stars, sketched, ["size", "sketch"], _far_apart(LOOSE * threshold), "a long, b long", "edges")
         drop_path(spark, stars_path)
         classes, _ = materialize(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cls")), "classes")
         # candidates of unlike classes
