@@ -1,6 +1,10 @@
 """A corpus pipeline over the documents table; each stage is written as Parquet and reread by the next.
 
-ORACLE_SQL is None: random splits and online placement have no SQL; tests hold each stage against brute force.
+ORACLE_SQL is None: random splits, winnowing and online placement have no SQL. Tests hold the stages' operators against
+brute force, the stages against planted cases, and run() against the stages one by one.
+
+In every stage null ids and texts, empty, blank and very long texts, repeated rows, empty tables and extra columns with any
+names are rows like others; each docstring says what becomes of them. All but the last stage keep the columns of docs.
 """
 
 from __future__ import annotations
@@ -15,22 +19,27 @@ from stratarch.llm.shared import scratch_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the isolation forest over rule statistics doesn't reject."""
+    """Documents that the isolation forest over rule statistics doesn't reject. Null, empty and blank texts go, as does what
+    lies on the threshold; repeated rows stay or go alike; null ids count."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without later copies of passages."""
+    """The same rows without later copies of passages of 25 words or more; a text that is all copies is empty from here on.
+    The first in order of id (null first) and text hash keeps a passage; null texts stay null; rows equal in id and text keep
+    equal texts."""
     return dedup_lines(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each class of near duplicates: the one of least id (null first), then text hash; of repeated rows
+    one. Null, empty and wordless texts are in no class and stay. It judges the texts as line dedup has left them."""
     return drop_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2,048 words, one row per piece."""
+    """Windows of 2,048 words, one row per piece (window_id, doc_id, piece, start, length, offset). Null, empty and blank
+    texts have no piece; repeated rows are packed as often as they stand; a null id stays null."""
     return pack_windows(docs)
 
 

@@ -151,7 +151,10 @@ def _encode(vocabulary, pattern: str, bits: int, least: int):
         for batch in it:
             for ids, texts in slices(list(batch.columns), 1):
                 t = TextBatch(texts)
-                lists = encoder.texts(t)
+                if pattern == PATTERN:
+                    lists = encoder.texts(t)
+                else:  # where a token may end is known for the built-in pattern only
+                    lists = [tokenizer.encode_ordinary(x or "") for x in texts.to_pylist()]
                 data = t.buf.tobytes()
                 same = [tokenizer.decode_bytes(x) == data[a:b] for x, a, b in zip(lists, t.offsets.tolist(), t.offsets[1:].tolist())]
                 size = np.array([len(x) for x in lists], np.int64)
@@ -174,7 +177,7 @@ def encode_documents(
     no rows.
 
     Documents meet by their least chunk hash (one shuffle), so shared chunks come to one task, where each is encoded
-    once. `vocabulary` is read on the driver and sent to executors, which need no file of it.
+    once. With another `pattern` than the built-in one texts are encoded whole. `vocabulary` is read on the driver and sent to executors, which need no file of it.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:

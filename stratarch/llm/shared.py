@@ -9,6 +9,8 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -17,13 +19,16 @@ from pyspark.sql.types import IntegralType
 BROADCAST_BYTES = 24 << 20
 NULL_ID = -(1 << 63)
 
-_created: list[tuple[SparkSession, str]] = []
+_created: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir; a fresh temporary one only in local mode where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="stratarch-")
@@ -33,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/stratarch/{name}-{uuid.uuid4().hex}"
-    _created.append((spark, path))
+    _created.add(path)
     return path
 
 
@@ -46,10 +51,10 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, now: bool = False) -> None:
     """Let the cleaner drop shuffle files of finished jobs; else they stay until the driver happens to collect garbage.
-    Jobs that follow one another within RELEASE_SECONDS are released together."""
-    if time.monotonic() - release.last >= RELEASE_SECONDS:
+    Jobs that follow one another within RELEASE_SECONDS are released together, unless `now`."""
+    if now or time.monotonic() - release.last >= RELEASE_SECONDS:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         release.last = time.monotonic()
@@ -63,15 +68,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _created.discard(path)
 
 
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in _created:
+    """Tables that results may read until the end; the session may have stopped by then, so not by its file system."""
+    for path in sorted(_created):
         try:
-            drop_path(spark, path)
-        except Exception:  # the session is gone; its folder is removed with the cluster's
-            return
+            system, inner = fs.FileSystem.from_uri(path)
+            if system.get_file_info(inner).type.name != "NotFound":
+                system.delete_dir(inner)
+        except (OSError, pa.ArrowException):  # one that can't be reached doesn't keep the others
+            continue
 
 
 def maybe_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -789,6 +789,14 @@ def test_bpe_awkward(spark, messy):
     assert bpe.encode_documents(empty(spark)).count() == 0
 
 
+def test_bpe_with_another_pattern(spark, docs, corpus):
+    pattern = r"\w+|\W+"
+    with open(bpe.VOCABULARY, "rb") as f:
+        plain = bpe.encoding(f.read(), pattern)
+    got = {r.doc_id: r.tokens for r in bpe.encode_documents(docs.where("doc_id < 5"), pattern=pattern).collect()}
+    assert got == {k: plain.encode_ordinary(t) for k, t, *_ in corpus[:5]}
+
+
 def test_bpe_bytes_that_are_no_utf8(spark):
     df = spark.sql("select 1L as doc_id, cast(X'61FF6220' as string) as text union all select 2L, 'a b'")
     assert rows(bpe.encode_documents(df), "doc_id", "exact") == [(1, False), (2, True)]
