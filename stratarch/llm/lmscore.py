@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_path, materialize, scratch_path
+from .shared import drop_path, materialize, release, scratch_path
 from .textbatch import SPACE, U64, TextBatch, batches, mix, starts_of_runs
 
 #: Lengths whose word sequences are looked up together; a round goes on only where the last length of the one before
@@ -20,7 +20,7 @@ from .textbatch import SPACE, U64, TextBatch, batches, mix, starts_of_runs
 ROUNDS = ((1, 2), (3, 4), (5, 6, 7, 8))
 #: Words of a slice, the unit of work; a longer document is a slice of its own.
 SLICE_WORDS = 2_000_000
-WORD_BYTES, GRAM_BYTES = 5, 6
+WORD_BYTES, GRAM_BYTES = 5, 5
 _WORD = U64((1 << (8 * WORD_BYTES)) - 1)
 
 
@@ -142,7 +142,7 @@ class Slice:
         index[order] = np.cumsum(new) - 1
         one, by = h[order[first]], doc[order]
         many = np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first) if len(first) else np.zeros(0, bool)
-        bucket = (one % U64(buckets)).astype(np.int32)
+        bucket = (one % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # the former sorts by radix
         turn = np.argsort(bucket, kind="stable")
         place = np.empty(len(turn), np.int64)
         place[turn] = np.arange(len(turn))
@@ -264,14 +264,14 @@ def cross_parse_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the whole table, every row but the document's own, so `reference_tokens` is all words less its own; nothing of it is
     left out, and equal texts get equal scores. Longest matches are exact up to 8 words (ROUNDS); beyond, a match goes on
     as long as each window of 8 words stands in another row, as in an automaton of that order. Words are told apart by 40
-    bits of their hashes, sequences by 47 bits within a bucket.
+    bits of their hashes, sequences by 39 bits within a bucket.
 
     Words are what stands between white space. Null, empty and blank texts have 0 tokens and score null. A null id stays
     null; ids may be of any type. Repeated rows match each other and get equal scores. Long texts are parsed whole. An empty
     table gives no rows; a single text has no reference, and every word is a phrase.
 
     The words of slices of documents are written once. In each round a slice sends the distinct sequences that may
-    still match, 6 bytes each, to buckets by hash, and gets a byte for each; a sequence that many documents have is sent once
+    still match, 5 bytes each, to buckets by hash, and gets a byte for each; a sequence that many documents have is sent once
     a slice, so no bucket is hot. Shuffles and work grow with the words, not with documents times reference.
     """
     spark = docs.sparkSession
@@ -290,16 +290,22 @@ def cross_parse_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # numbers are dense, so slices are dealt evenly to tasks; the window sorts names, one a slice
     names = slices.select("file").withColumn("slice", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
     numbered, _ = materialize(slices.join(names, "file").select("slice", "file", "counts", "ids"), "numbered")
-    answers, old = None, None
-    kinds = "bucket long, slice long, data binary"
-    for upto in range(len(ROUNDS)):
+    by_slice = F.pmod("slice", F.lit(tasks)).cast("int")
+
+    def round_of(upto: int, answers: DataFrame | None) -> tuple[DataFrame, str]:
+        kinds = "bucket long, slice long, data binary"
         given = numbered.select("slice", "file", "counts")
         given = given.withColumn("answers", F.lit(None).cast("array<struct<bucket long, data binary>>")) if answers is None else given.join(answers, "slice")
-        asked = given.repartitionById(tasks, F.pmod("slice", F.lit(tasks)).cast("int")).mapInArrow(_ask(folder, upto, buckets), kinds)
+        asked = given.repartitionById(tasks, by_slice).mapInArrow(_ask(folder, upto, buckets), kinds)
         told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, kinds)
-        answers, path = materialize(told.groupBy("slice").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), "answers")
-        if old:
-            drop_path(spark, old)
+        return materialize(told.groupBy("slice").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), "answers")
+
+    answers, path = round_of(0, None)
+    for upto in range(1, len(ROUNDS)):
+        release(spark, True)  # a round's shuffle goes before the next one's comes
         old = path
-    final = numbered.join(answers, "slice").repartitionById(tasks, F.pmod("slice", F.lit(tasks)).cast("int"))
+        answers, path = round_of(upto, answers)
+        drop_path(spark, old)
+    release(spark, True)
+    final = numbered.join(answers, "slice").repartitionById(tasks, by_slice)
     return final.mapInArrow(_score(folder, buckets, total, schema), out_schema)
