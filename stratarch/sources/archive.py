@@ -129,10 +129,13 @@ class ArchiveReader(DataSourceReader):
         return [(p, n) for p, n in found if all(passes(f, codec.Record(0), p) for f in only)]
 
     def partitions(self) -> list[InputPartition]:
-        most = int(self.options.get("maxpartitionbytes", 128 << 20))
+        files = self._files()
+        # few bytes may be much work where they are well compressed: all cores take part unless that leaves them under 4 MB each
+        share = max(4 << 20, -(-sum(n for _, n in files) // int(self.options.get("minpartitionnum", 1))))
+        most = min(int(self.options.get("maxpartitionbytes", 128 << 20)), share)
         split = int(self.options.get("splitbytes", 0))
         out, held, size = [], [], 0
-        for path, n in self._files():
+        for path, n in files:
             if split and n > split:
                 out += [Slice(((path, a, min(a + split, n)),)) for a in range(0, n, split)]
                 continue
@@ -400,7 +403,8 @@ class WebArchive(DataSource):
 
     Read options: content (true), maxContentBytes, multiRecordMember (first | error), includeOpen (true),
     pushFilters (false; rejected records are then skipped without their contents; for a relation that a plan reads once),
-    maxPartitionBytes (small files share a task), splitBytes (gzip files above it are cut at member borders; their
+    maxPartitionBytes (small files share a task), minPartitionNum (tasks that a scan is spread over if it has 4 MB for each; by
+    read_archives the cores there are), splitBytes (gzip files above it are cut at member borders; their
     record_index then ascends in file order but has gaps).
     Write options: prefix, compression (gzip | zstd | none), maxFileMb, digest, dictionary, hostname, level, now, keepOpen,
     software, info (a JSON object of more fields for the information records).
@@ -429,7 +433,7 @@ def register(spark: SparkSession) -> None:
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
     """The record table of a file, folder or pattern."""
     register(spark)
-    reader = spark.read.format(FORMAT)
+    reader = spark.read.format(FORMAT).option("minPartitionNum", spark.sparkContext.defaultParallelism)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
     return reader.load(path)

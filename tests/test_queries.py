@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stratarch.operators import dedupe, folds
 from stratarch.plans import queries
 from stratarch.plans.queries import ORACLE_SQL, QUERIES
+from stratarch.sources.archive import ArchiveReader, file_sizes
 from stratarch.streaming.dedupe import ttl_cache_stream, use_rocksdb
 
 SF = "/root/testdata/sf0.001"
@@ -149,6 +150,31 @@ def test_files_are_changed_in_pieces(spark, tmp_path, compressor, whole):
     assert (tmp_path / "b" / "x.z").read_bytes() == whole(data) and (tmp_path / "b" / "none.z").read_bytes() == whole(b"")
 
 
+def test_writers_follow_the_input_and_every_file_has_a_task(spark, tmp_path, monkeypatch):
+    """More pages make more archives, not longer ones; they are compressed again one in a task and scanned by all cores."""
+    monkeypatch.setattr(queries, "WRITER_BYTES", 10_000)
+    path = queries._archives(spark, SF, "none", writers=None)
+    files = file_sizes(spark, path).collect()
+    assert len(files) > 8 and max(f.file_size for f in files) < 200_000
+
+    def where(chunks):
+        from pyspark import TaskContext
+
+        return [*chunks, b" " * TaskContext.get().partitionId()]
+
+    queries._changed_files(spark, path, str(tmp_path / "changed"), where)
+    added = {f.file_size - (tmp_path / "changed" / f.file.rpartition("/")[2]).stat().st_size for f in files}
+    assert len(added) == len(files)
+
+
+def test_scan_is_spread_over_cores(tmp_path):
+    for k in range(12):
+        (tmp_path / f"{k:02d}.warc.gz").write_bytes(bytes(3 << 20))
+    parts = ArchiveReader({"path": str(tmp_path), "minpartitionnum": "6"}).partitions()
+    assert len(parts) == 6 and sum(len(p.files) for p in parts) == 12
+    assert len(ArchiveReader({"path": str(tmp_path), "minpartitionnum": "600"}).partitions()) == 12
+
+
 def test_entry(spark):
     import __spark_entry__
 
