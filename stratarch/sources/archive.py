@@ -213,6 +213,16 @@ def to_batch(rows: list[codec.Record], path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in RECORD_SCHEMA.fields})
 
 
+def to_row(r: codec.Record, path: str) -> tuple:
+    """A record as a row of the record table, with the values that to_batch gives."""
+    low = {} if r.error else {k.lower(): v for k, v in r.headers.items()}
+    hot = {c: low.get(h) for c, h in HOT_HEADERS.items()}
+    values = {
+        "file": path, "record_index": r.index, "offset": r.offset, "size": r.size, "version": None if r.error else r.version, "headers": None if r.error else r.headers, **hot,
+        "warc_date": parse_date(hot["warc_date_raw"]), "content_length": r.content_length, "content": r.content, "error": r.error}
+    return tuple(values[name] for name in RECORD_SCHEMA.names)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -485,8 +495,7 @@ def register_functions(spark: SparkSession) -> None:
     class Records:
         def eval(self, path: str, data: bytes):
             for r in codec.records(codec.open_bytes(data or b""), True):
-                row = to_batch([r], path).to_pylist()[0]
-                yield tuple(dict(v) if k == "headers" and v is not None else v for k, v in row.items())
+                yield to_row(r, path)
 
     spark.udtf.register("archive_records", Records)
 

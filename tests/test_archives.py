@@ -268,3 +268,23 @@ def test_failed_attempts_leave_no_open_files(spark, tmp_path):
     with pytest.raises(Exception):
         write_archives(rows, str(folder / "2"))
     assert not list((folder / "2").iterdir())
+
+
+def test_table_function_makes_rows_without_batches(spark, monkeypatch):
+    """Rows of the table function are those of a scan, error rows too, and cost no Arrow batch each."""
+    from stratarch.sources import archive
+
+    data = CODECS["gz.warc.gz"]([*RECORDS, record("twice", b"abc", **{"warc-type": "second", "WARC-Date": "no date"})]) + b"garbage that is no member"
+    found = scan(data)
+    want = [tuple(dict(v) if k == "headers" and v is not None else v for k, v in row.items()) for row in archive.to_batch(found, "p").to_pylist()]
+
+    def never(rows, path):
+        raise AssertionError("a batch was made")
+
+    monkeypatch.setattr(archive, "to_batch", never)
+    assert [archive.to_row(r, "p") for r in found] == want and want[-1][-1] == "gzip: invalid header"
+    archive.register_functions(spark)
+    monkeypatch.undo()
+    files = spark.createDataFrame([("p", bytearray(data)), ("none", None)], "path string, data binary")
+    got = spark.sql("SELECT r.* FROM {files} f, LATERAL archive_records(f.path, f.data) r", files=files).orderBy("record_index").collect()
+    assert [tuple(r) for r in got] == [tuple(x.replace(tzinfo=None) if hasattr(x, "tzinfo") else x for x in row) for row in want]
